@@ -27,7 +27,7 @@ SYMBOLS = b"#*$%&|<>"
 BUCKETS = 16_384
 TARGET_ROWS = 20_000
 #: Mean log ratio under which a document is rejected.
-THRESHOLD = -0.5
+THRESHOLD = -0.15
 MIN_WORDS, WINDOW, MOST_REPEATED = 20, 8, 0.30
 
 FEATURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ratio double, kept boolean"
