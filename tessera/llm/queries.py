@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontam, packing, quality, sharding
+from . import binary, decontam, neardup, packing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_files(spark, binary.write_files(table(spark, sf_dir, "documents")), with_ids=False)
 
@@ -41,6 +45,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_features(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_minimax_sharding, op6_token_id_files, op9_benchmark_decontamination, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_minimax_sharding, op5_minmax_near_dedup, op6_token_id_files, op9_benchmark_decontamination, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
