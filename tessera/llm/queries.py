@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontam, neardup, packing, quality, sharding
+from . import binary, decontam, neardup, packing, quality, sharding, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_files(spark, binary.write_files(table(spark, sf_dir, "documents")), with_ids=False)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -45,6 +49,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_features(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_minimax_sharding, op5_minmax_near_dedup, op6_token_id_files, op9_benchmark_decontamination, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_minimax_sharding, op5_minmax_near_dedup, op6_token_id_files, op7_suffix_dedup, op9_benchmark_decontamination, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
