@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, decontam, linededup, neardup, packing, quality, sharding, suffix
+from . import binary, decontam, linededup, neardup, packing, pii, quality, sharding, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.coalesce(F.size(F.expr(f"filter(base, s -> s.kind = {k})")), F.lit(0)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS, 1)]
+    return found.select("doc_id", *counts, F.sha2(pii.text_of("base"), 256).alias("base_sha256"), pii.text_of("spans").alias("spans"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -55,6 +61,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_features(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_fuzzy_line_dedup, op3_minimax_sharding, op5_minmax_near_dedup, op6_token_id_files, op7_suffix_dedup, op9_benchmark_decontamination, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_fuzzy_line_dedup, op3_minimax_sharding, op5_minmax_near_dedup, op6_token_id_files, op7_suffix_dedup, op8_weak_supervision_pii, op9_benchmark_decontamination, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
