@@ -7,7 +7,7 @@ of the next token and, in a second softmax, the token within its class; within t
 counts, and one share, the tail tokens that occur once (the Good-Turing estimate), is for words never met in training.
 
 Training is truncated backpropagation through WINDOW steps with state carried on, over all training documents: each
-task trains a copy on its documents, the copies are averaged by their tokens, and the average starts the next round;
+task trains a copy on its documents, cut into streams of equal length, and the copies are averaged by their tokens, and the average starts the next round;
 every training document is used in one round. Scoring carries the state from the first to the last token of a document.
 
 Defined cases: a null or empty text is its end token alone; equal texts get equal scores; without training documents every
@@ -34,7 +34,9 @@ KEPT, CLASS_SIZE, HIDDEN = 1024, 32, 16
 STREAMS, WINDOW, RATE = 512, 16, 0.01
 #: Shares of the training documents in each round.
 ROUNDS = (0.15, 0.85)
-CHUNK_BYTES = 40 << 20
+CHUNK_BYTES = 24 << 20
+#: Tokens scored together: the longest text of many leaves fewer streams idle.
+SCORE_TOKENS = 2_000_000
 #: Stands for the end of a text among word hashes.
 END = np.uint64(0x9E3779B97F4A7C15)
 FOLDS, HELD_OUT = 5, 1
@@ -65,7 +67,7 @@ def chunk_words(docs: DataFrame, buckets: int) -> DataFrame:
     """bucket, chunk, blob: the distinct token hashes of a chunk (uint64, sorted) and their training counts (int64)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = WordHashes(250_000)
         now, own = None, []
 
         def reduced() -> tuple[np.ndarray, np.ndarray]:
@@ -246,14 +248,15 @@ class Network:
                 dh[rows] += f @ p["ww"][k].T
         return (log, dh, grads) if back else log
 
-    def run(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+    def run(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = True) -> tuple[np.ndarray, np.ndarray, list]:
         """States after each of the steps (rows of inputs), the last state, and what going back needs."""
         states, kept = np.empty((*inputs.shape, h.shape[1]), np.float32), []
         for t in range(len(inputs)):
             before = np.where(fresh[t][:, None], np.float32(0), h)
             h, z, r, new, u = self.step(inputs[t], before)
             states[t] = h
-            kept.append((before, z, r, new, u))
+            if keep:
+                kept.append((before, z, r, new, u))
         return states, h, kept
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
@@ -316,7 +319,7 @@ def streams_of(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         column[i], row[i] = k, load
         lengths[k] = load + int(counts[i])
         heapq.heapreplace(heap, (lengths[k], k))
-    grid = np.full((max(lengths), width), -1, np.int64)
+    grid = np.full((max(lengths), width), -1, np.int32)
     fresh = np.zeros(grid.shape, bool)
     fresh[row, column] = True
     owner = np.repeat(np.arange(len(counts)), counts)
@@ -325,9 +328,22 @@ def streams_of(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return grid, fresh
 
 
-def windows(ranks: np.ndarray, counts: np.ndarray, end: int, width: int, steps: int) -> Iterator[tuple[np.ndarray, ...]]:
+def even_streams(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """As streams_of, but all texts in a row are cut into streams of equal length, which may begin within a text."""
+    n = int(counts.sum())
+    rows = -(-n // width)
+    grid = np.full(rows * width, -1, np.int32)
+    grid[:n] = np.arange(n)
+    starts = np.zeros(rows * width, bool)
+    starts[starts_of(counts)[:-1]] = True
+    grid, starts = grid.reshape(width, rows).T, starts.reshape(width, rows).T
+    starts[:1] = True
+    return grid, starts
+
+
+def windows(ranks: np.ndarray, counts: np.ndarray, end: int, width: int, steps: int, even: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
     """Inputs, targets, fresh, real and token places of successive windows over streams of the texts."""
-    grid, fresh = streams_of(counts, width)
+    grid, fresh = (even_streams if even else streams_of)(counts, width)
     before = np.concatenate([[end], ranks[:-1]])
     before[starts_of(counts)[:-1]] = end
     for t in range(0, len(grid), steps):
@@ -351,18 +367,14 @@ def trained(docs: DataFrame, v: Vocabulary, rounds: tuple[float, ...] = ROUNDS,
 
         def train(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             raw, v = sent.value
-            own, known, seen = Network.load(raw), WordHashes(), 0
+            own, known, seen = Network.load(raw), WordHashes(250_000), 0
             adam = Adam(own.p, rate)
             for batch in slices(batches):
                 h, counts = token_hashes(byte_texts(batch.column("text")), known)
                 state = None
-                for inputs, targets, fresh, real, _ in windows(v.ranks(h), counts, v.end, STREAMS, WINDOW):
-                    state = np.zeros((inputs.shape[1], hidden), np.float32) if state is None else state
-                    if real.sum() >= 0.1 * real.size or seen == 0:
-                        grads, state, _ = own.gradients(inputs, targets, fresh, real, state)
-                    else:  # few streams are left: leave out the empty ones
-                        some = real.any(axis=0)
-                        grads, state[some], _ = own.gradients(inputs[:, some], targets[:, some], fresh[:, some], real[:, some], state[some])
+                for inputs, targets, fresh, real, _ in windows(v.ranks(h), counts, v.end, STREAMS, WINDOW, even=True):
+                    state = np.zeros((STREAMS, hidden), np.float32) if state is None else state
+                    grads, state, _ = own.gradients(inputs, targets, fresh, real, state)
                     adam.update(grads)
                     seen += int(real.sum())
             if seen:
@@ -413,8 +425,9 @@ def scores(docs: DataFrame, kept: int = KEPT, rounds: tuple[float, ...] = ROUNDS
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, v = sent.value
-        own, known = Network.load(raw), WordHashes()
+        own, known = Network.load(raw), WordHashes(250_000)
         now, blobs, table = None, [], None
+        waiting: list[tuple] = []
         for whole in batches:
             key = whole.column("chunk").to_numpy() * 2 + whole.column("side").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)] if len(key) else []
@@ -430,30 +443,40 @@ def scores(docs: DataFrame, kept: int = KEPT, rounds: tuple[float, ...] = ROUNDS
                     h = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16) for x in blobs])
                     c = np.concatenate([np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2) for x in blobs])
                     order = np.argsort(h)
-                    table = h[order], c[order]
-                for batch in slices(iter([part]), limit=16 << 20):
-                    yield scored(batch, own, v, known, *table)
+                    table, blobs = (h[order], c[order]), []
+                for batch in slices(iter([part])):
+                    waiting.append(measured(batch, v, known, *table))
+                    if sum(len(w[2]) for w in waiting) >= SCORE_TOKENS:
+                        yield scored(waiting, own, v)
+                        waiting = []
+        if waiting:
+            yield scored(waiting, own, v)
 
     return rows.repartition("chunk").sortWithinPartitions("chunk", "side").mapInArrow(score, SCORES)
 
 
-def scored(batch: pa.RecordBatch, model: Network, v: Vocabulary, known: WordHashes, hashes: np.ndarray, counts_of: np.ndarray) -> pa.RecordBatch:
+def measured(batch: pa.RecordBatch, v: Vocabulary, known: WordHashes, hashes: np.ndarray, counts_of: np.ndarray) -> tuple:
+    """doc ids, tokens of each text, rank and tail log10 probability of each token, known tokens and base score of each text."""
     h, counts = token_hashes(byte_texts(batch.column("text")), known)
     types, which = np.unique(h, return_inverse=True)
-    c_type = counts_of[np.searchsorted(hashes, types)]
-    c = c_type[which]
-    rank_type = v.ranks(types)
-    ranks = rank_type[which]
-    log = np.where(ranks == len(v.hashes), v.tail_log10(c_type)[which], 0.0)
+    c = counts_of[np.searchsorted(hashes, types)]
+    rank = v.ranks(types).astype(np.int32)
+    tail = np.where(rank == len(v.hashes), v.tail_log10(c), 0.0).astype(np.float32)
+    first = starts_of(counts)[:-1]
+    return batch.column("doc_id").to_pylist(), counts, rank[which], tail[which], np.add.reduceat((c > 0).astype(np.int64)[which], first), np.add.reduceat(v.base_log10(c)[which], first)
+
+
+def scored(waiting: list[tuple], model: Network, v: Vocabulary) -> pa.RecordBatch:
+    ids = [d for w in waiting for d in w[0]]
+    counts, ranks, log, known, base = (np.concatenate([w[k] for w in waiting]) for k in range(1, 6))
     state = None
     for inputs, targets, fresh, real, at in windows(ranks, counts, v.end, STREAMS, 32):
         if state is None:
             state = np.zeros((inputs.shape[1], model.p["gates"].shape[0]), np.float32)
         some = real.any(axis=0)
-        states, state[some], _ = model.run(inputs[:, some], fresh[:, some], state[some])
+        states, state[some], _ = model.run(inputs[:, some], fresh[:, some], state[some], keep=False)
         real = real[:, some]
-        log[at[:, some][real]] += model.outputs(states[real], targets[:, some][real]) / math.log(10)
-    first = starts_of(counts)[:-1]
-    ids = batch.column("doc_id")
-    columns = [ids, pa.array([fold(d) == HELD_OUT for d in ids.to_pylist()]), pa.array(counts), pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), pa.array(np.full(len(counts), v.total)), pa.array(np.add.reduceat(v.base_log10(c_type)[which], first)), pa.array(np.add.reduceat(log, first))]
+        log[at[:, some][real]] += model.outputs(states[real], targets[:, some][real]) / np.float32(math.log(10))
+    score = np.add.reduceat(log.astype(np.float64), starts_of(counts)[:-1])
+    columns = [pa.array(ids, pa.int64()), pa.array([fold(d) == HELD_OUT for d in ids]), pa.array(counts), pa.array(known), pa.array(np.full(len(counts), v.total)), pa.array(base), pa.array(score)]
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
