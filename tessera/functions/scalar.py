@@ -344,7 +344,7 @@ def bit_rshift(a, n: int):
 
 def bits(a, n: int):
     """Array of the lowest n bits, lowest first."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.call_function("getbit", a, k) == 1)
+    return F.when(a.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.call_function("getbit", a, k) == 1))
 
 
 def bitfield(a, low: int, n: int):

@@ -56,7 +56,7 @@ def jd(t):
 
 
 def ajd(t):
-    return F.unix_micros(t) / 86400e6 + 2440587.5
+    return F.unix_micros(t.cast("timestamp")) / 86400e6 + 2440587.5
 
 
 def is_leap(t):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,10 +65,10 @@ def wrap(value: Column, name: str) -> Column:
     name = canonical(name)
     n = BITS[name]
     wide = value.cast("decimal(38,0)")
-    size = F.lit(2**n).cast("decimal(38,0)")
+    size = F.lit(Decimal(2**n)).cast("decimal(38,0)")
     if is_unsigned(name):
         return F.pmod(wide, size).cast(SPARK[name])
-    half = F.lit(2 ** (n - 1)).cast("decimal(38,0)")
+    half = F.lit(Decimal(2 ** (n - 1))).cast("decimal(38,0)")
     return (F.pmod(wide + half, size) - half).cast(SPARK[name])
 
 

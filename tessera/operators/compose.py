@@ -153,7 +153,7 @@ class Compose:
                 shape.append(self._shape[a])
                 columns.append(F.col(f"i{a}"))
             else:
-                df = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint").alias(f"r{k}"))
+                df = df.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias(f"r{k}"))
                 shape.append(n)
                 columns.append(F.col(f"r{k}"))
         return self.like(df.select(self.address_of(columns, tuple(shape)).alias("addr"), "v"), tuple(shape))

@@ -113,7 +113,7 @@ class Lookup:
         df = self.like(self.df, own).indexed()
         for k, (a, b) in enumerate(zip(own, shape, strict=True)):
             if a == 1 and b > 1:
-                df = df.drop(f"i{k}").select("*", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).cast("bigint").alias(f"i{k}"))
+                df = df.drop(f"i{k}").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(b - 1).cast("bigint"))).alias(f"i{k}"))
         return self.like(df.select(self.address_of([F.col(f"i{k}") for k in range(len(shape))], shape).alias("addr"), "v"), shape)
 
     def nearest_of(self, x: Column) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,8 +80,6 @@ class Record:
 
     def decode_column(self, df: DataFrame, raw: str, order: str = "<") -> DataFrame:
         """df with the binary column decoded into a struct, in Arrow batches."""
-        import pandas as pd
-
         record = self
 
         @F.pandas_udf(self.ddl())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +13,6 @@ from ..functions.types import SPARK, canonical
 
 def map_values(a, f: Callable, kind: str | None = None):
     """f: numpy values to numpy values, for batches of valid cells."""
-    import pandas as pd
-
     kind = canonical(kind or a.kind)
 
     @F.pandas_udf(SPARK[kind])
@@ -28,8 +27,6 @@ def map_values(a, f: Callable, kind: str | None = None):
 
 def map_with_addr(a, f: Callable, kind: str | None = None):
     """f: values and addresses to values."""
-    import pandas as pd
-
     kind = canonical(kind or a.kind)
 
     @F.pandas_udf(SPARK[kind])
@@ -44,8 +41,6 @@ def map_with_addr(a, f: Callable, kind: str | None = None):
 
 def outputs(a, f: Callable, names: list[str], *others) -> DataFrame:
     """f: the values of several arrays to several outputs (a dict of numpy values); masked in any is masked in all."""
-    import pandas as pd
-
     df = a.df.select("addr", F.col("v").cast("double").alias("x0"))
     for k, o in enumerate(others, 1):
         df = df.join(o.df.select("addr", F.col("v").cast("double").alias(f"x{k}")), "addr")
@@ -66,8 +61,6 @@ def outputs(a, f: Callable, names: list[str], *others) -> DataFrame:
 
 def calculate(a, axes: tuple[int, ...], f: Callable) -> DataFrame:
     """f: the ordered values of a group to one number; a group is an index of the given axes and must fit in a task."""
-    import pandas as pd
-
     keys = [f"i{k}" for k in axes]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -78,8 +71,6 @@ def calculate(a, axes: tuple[int, ...], f: Callable) -> DataFrame:
 
 def filter_groups(a, axes: tuple[int, ...], f: Callable):
     """f: the ordered values of a group to as many values."""
-    import pandas as pd
-
     keys = [f"i{k}" for k in axes]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
