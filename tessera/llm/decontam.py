@@ -73,16 +73,10 @@ def scan(text: bytes, automaton, lists) -> tuple[list[bytes], set[int], list[str
 
 
 def original_spans(text: bytes, hit: set[int]) -> list[tuple[int, int]]:
-    """Byte offsets of runs of hit words in the text as it was."""
+    """Byte offsets of each hit word in the text as it was."""
     at = np.frombuffer(text.translate(TABLE), np.uint8) != 0x20
     edges = np.flatnonzero(np.diff(np.concatenate([[0], at.view(np.int8), [0]])))
-    runs: list[tuple[int, int]] = []
-    for k in sorted(hit):
-        a, b = int(edges[2 * k]), int(edges[2 * k + 1])
-        if runs and k - 1 in hit:
-            a = runs.pop()[0]
-        runs.append((a, b))
-    return runs
+    return [(int(edges[2 * k]), int(edges[2 * k + 1])) for k in sorted(hit)]
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -102,7 +96,7 @@ FOUND = "doc_id long, n_words long, hit_words array<int>, items array<string>, s
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """FOUND: for each document the numbers of its hit words, the items found and the byte spans of hit runs in the original."""
+    """FOUND: for each document the numbers of its hit words, the items found and their byte spans in the original."""
     spark = docs.sparkSession
     docs = id_and_text(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hit_words", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
