@@ -96,8 +96,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, targe
         both[:, r.bucket] = r.raw, r.target
     if not both[1].sum():
         return np.zeros(buckets)
-    p = (both + 1) / (both.sum(axis=1, keepdims=True) + buckets)
-    return np.log(p[1]) - np.log(p[0])
+    raw = (both[0] + 1) / (both[0].sum() + buckets)
+    target = (both[1] + buckets * raw) / (both[1].sum() + buckets)  # a small sample leans on the raw corpus
+    return np.log(target) - np.log(raw)
 
 
 def features_of(batch: pa.RecordBatch, ratios: np.ndarray, known: WordHashes, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> pa.RecordBatch:
