@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +33,11 @@ from .shared import byte_texts, drop_tables, id_and_text, mix64, slices, write_t
 
 MATCH, SEED = 50, 16
 LEFT = MATCH - SEED
-BUCKET_BYTES = 48 << 20
-FLUSH_BYTES = 32 << 20
-RUN_ROWS = 200_000
+BUCKET_BYTES = 12 << 20
+FLUSH_BYTES = 12 << 20
+RUN_ROWS = 60_000
+#: Text bytes hashed together; the hashes take some sixty times as much.
+SLICE = 1 << 20
 _MOST = np.uint64(2**64 - 1)
 
 
@@ -88,7 +91,7 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same: list[np.ndarray] = []
         hashes: list[np.ndarray] = []
-        size = 0
+        size, batch_number = 0, TaskContext.get().partitionId() << 32
 
         def flush() -> Iterator[pa.RecordBatch]:
             c, h = np.concatenate(same), np.concatenate(hashes)
@@ -105,11 +108,11 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 six = h[a:b].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()  # 48 of its bits
                 numbers.append(int(bucket[a]))
                 blobs.append(np.asarray([b - a, len(own)], "<u4").tobytes() + own.tobytes() + which.astype(width).tobytes() + six)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([batch_number] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "batch", "blob"])
             same.clear()
             hashes.clear()
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             texts = byte_texts(batch.column("text"))
             owner, _, h = anchors(texts)
             same.append(batch.column("same").to_numpy()[owner].view(np.uint64))
@@ -117,13 +120,14 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             size += sum(map(len, texts))
             if size >= FLUSH_BYTES:
                 yield from flush()
-                size = 0
+                size, batch_number = 0, batch_number + 1
         if hashes:
             yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One answer to each batch that sent something: texts and those of their anchors that another text has."""
         for group in runs(batches, ["bucket"]):
-            c, h = [], []
+            c, h, sizes = [], [], []
             for blob in group.column("blob").to_pylist():
                 n, m = np.frombuffer(blob, "<u4", 2).tolist()
                 own = np.frombuffer(blob, np.uint64, m, 8)
@@ -133,24 +137,39 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 six = np.zeros((n, 8), np.uint8)
                 six[:, 2:] = np.frombuffer(blob, np.uint8, 6 * n, at + n * np.dtype(width).itemsize).reshape(-1, 6)
                 h.append(six.view(np.uint64).ravel())
+                sizes.append(n)
             c, h = np.concatenate(c), np.concatenate(h)
             if not len(h):
                 continue
             order = np.argsort(h, kind="stable")
-            c, h = c[order], h[order]
-            first = np.flatnonzero(np.diff(h, prepend=h[0] ^ _MOST))
-            many = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
-            there = np.repeat(many, np.diff(first, append=len(h)))
-            c, h = c[there], h[there]
+            first = np.flatnonzero(np.diff(h[order], prepend=h[order[0]] ^ _MOST))
+            many = np.minimum.reduceat(c[order], first) != np.maximum.reduceat(c[order], first)
+            there = np.empty(len(h), bool)
+            there[order] = np.repeat(many, np.diff(first, append=len(h)))
+            numbers, blobs = [], []
+            ends = np.cumsum(sizes).tolist()
+            for number, n, b in zip(group.column("batch").to_pylist(), sizes, ends, strict=True):
+                some = there[b - n : b]
+                if some.any():
+                    numbers.append(number)
+                    blobs.append(c[b - n : b][some].tobytes() + h[b - n : b][some].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["batch", "blob"])
+
+    def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The answers of all buckets to a batch, by text."""
+        for group in runs(batches, ["batch"]):
+            blobs = group.column("blob").to_pylist()
+            c = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16) for x in blobs])
+            h = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16, len(x) // 2) for x in blobs])
             order = np.argsort(c, kind="stable")
             c, h = c[order], h[order]
             cuts = np.flatnonzero(np.diff(c, prepend=c[:1] ^ _MOST)).tolist() + [len(c)]
             raw = memoryview(h.tobytes())
-            blobs = [bytes(raw[8 * a : 8 * b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(c[cuts[:-1]].view(np.int64)), pa.array(blobs, pa.binary())], ["same", "anchors"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[cuts[:-1]].view(np.int64)), pa.array([bytes(raw[8 * a : 8 * b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["same", "anchors"])
 
-    sent = docs.mapInArrow(send, "bucket long, blob binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "same long, anchors binary")
+    sent = docs.mapInArrow(send, "bucket long, batch long, blob binary")
+    met = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "batch long, blob binary")
+    return met.repartition("batch").sortWithinPartitions("batch").mapInArrow(sort_out, "same long, anchors binary")
 
 
 def front_coded(strings: list[bytes]) -> tuple[np.ndarray, bytes]:
@@ -187,7 +206,7 @@ def suffix_runs(found: DataFrame, buckets: int) -> DataFrame:
             held.clear()
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "run"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             texts = byte_texts(batch.column("text"))
             docs = batch.column("doc_id").to_pylist()
             owner, place, h = anchors(texts)
@@ -318,12 +337,12 @@ def repeated_spans(sent: DataFrame, buckets: int) -> DataFrame:
             right = np.fromiter((len(s) for p in parts for s in p[0]), np.int64, n)[index]
             lefts = [x for p in parts for x in p[2]]
             left = np.fromiter(map(len, lefts), np.int64, n)[index]
-            bytes_left = np.frombuffer(b"".join(x.ljust(LEFT, b"\0") for x in lefts), np.uint8).reshape(-1, LEFT)[index].astype(np.uint64)
+            bytes_left = np.frombuffer(b"".join(x.ljust(LEFT, b"\0") for x in lefts), np.uint8).reshape(-1, LEFT)[index]
             context = np.zeros(n, np.uint64)
             covered = np.zeros((n, LEFT + 1), bool)
             for i in range(LEFT + 1):
                 if i:
-                    context = mix64(context + bytes_left[:, i - 1] + np.uint64(1))
+                    context = mix64(context + bytes_left[:, i - 1].astype(np.uint64) + np.uint64(1))
                 there = np.flatnonzero((left >= i) & (right >= MATCH - i))
                 if not len(there):
                     continue
