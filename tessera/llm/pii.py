@@ -220,7 +220,7 @@ def text_of(spans: str) -> Column:
 
 def redact(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """docs with [KIND] in the place of each span; of overlapping spans the first counts."""
-    spans_ = personal_data(docs, accept).select(F.col("doc_id").alias("_id"), "spans").dropDuplicates(["_id"])
+    spans_ = personal_data(docs, accept).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")).dropDuplicates(["_id"])
     joined = docs.join(spans_, F.col("doc_id") == F.col("_id"), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     label = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
@@ -229,5 +229,5 @@ def redact(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
         piece = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.get(label, s["kind"] - 1))
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), piece.alias("out"))).otherwise(acc)
 
-    done = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    done = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     return joined.select(*[F.coalesce(done, F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
