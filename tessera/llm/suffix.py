@@ -362,11 +362,23 @@ def repeated_spans(sent: DataFrame, buckets: int) -> DataFrame:
             new = np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] > a[:-1] + MATCH)])  # all stretches are MATCH long here
             start = np.flatnonzero(new)
             last = np.append(start[1:], len(a)) - 1
-            spans = np.stack([a[start], a[last] + MATCH], axis=1).astype("<i8")
-            cut = np.flatnonzero(np.diff(d[start], prepend=d[0] - 1)).tolist() + [len(start)]
-            yield pa.RecordBatch.from_arrays([pa.array(d[start][cut[:-1]]), pa.array([spans[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)], pa.binary())], ["doc_id", "spans"])
-
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(work, "doc_id long, spans binary")
+            found = np.stack([d[start], a[start], a[last] + MATCH], axis=1).astype("<i8")
+            share = (mix64(found[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            sort = np.argsort(share, kind="stable")
+            cuts = np.flatnonzero(np.diff(share[sort], prepend=-1, append=buckets)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(share[sort][cuts[:-1]]), pa.array([found[sort[x:y]].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["share", "found"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The stretches that all buckets found in a share of the documents, by document."""
+        for group in runs(batches, ["share"]):
+            found = np.frombuffer(b"".join(group.column("found").to_pylist()), "<i8").reshape(-1, 3)
+            found = found[np.argsort(found[:, 0], kind="stable")]
+            cuts = np.flatnonzero(np.diff(found[:, 0], prepend=found[0, 0] - 1)).tolist() + [len(found)]
+            docs = found[cuts[:-1], 0]
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array([found[x:y, 1:].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["doc_id", "spans"])
+
+    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(work, "share long, found binary")
+    return found.repartition("share").sortWithinPartitions("share").mapInArrow(gather, "doc_id long, spans binary")
 
 
 def united(blobs: list[bytes]) -> list[tuple[int, int]]:
