@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .linededup import filter_of, marked
 from .neardup import runs
 from .shared import byte_texts, drop_tables, id_and_text, mix64, slices, write_table
 
@@ -399,12 +400,15 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     buckets = max(8, -(-total // BUCKET_BYTES))
     hits = write_table(shared_anchors(docs.where(F.octet_length("text") >= MATCH), buckets).groupBy("same").agg(F.collect_list("anchors").alias("anchors")), "anchors")
     wanted = classes.select(F.col("rep").alias("doc_id"), "same").join(hits, "same").select("doc_id", "anchors")
-    sent = suffix_runs(docs.select("doc_id", "text").join(wanted, "doc_id"), buckets)
+    texts = docs.select("doc_id", "text")
+    sent = suffix_runs(marked(texts, "doc_id", filter_of(wanted, "doc_id")).where("_may").select("doc_id", "text").join(wanted.hint("merge"), "doc_id"), buckets)
     spans = write_table(repeated_spans(sent, buckets), "spans")
     drop_tables(hits)
     copies = marks.where(F.col("size") >= MATCH).join(classes, ["same", "crc", "size"]).where("doc_id > rep").select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("binary").alias("spans"))
-    found = copies.union(spans.select("doc_id", F.lit(False), "spans")).groupBy("doc_id").agg(F.max("copy").alias("copy"), F.collect_list("spans").alias("spans"))
-    return docs.select("doc_id", "text").join(found, "doc_id", "left")
+    found = write_table(copies.union(spans.select("doc_id", F.lit(False), "spans")).groupBy("doc_id").agg(F.max("copy").alias("copy"), F.collect_list("spans").alias("spans")), "found")
+    told = marked(texts, "doc_id", filter_of(found, "doc_id"))  # only texts that can lose something move
+    whole = told.where("not _may").select("doc_id", "text", F.lit(None).cast("boolean").alias("copy"), F.lit(None).cast("array<binary>").alias("spans"))
+    return whole.union(told.where("_may").select("doc_id", "text").join(found.hint("merge"), "doc_id", "left"))
 
 
 def removed_spans(size: int, copy: bool | None, blobs: list[bytes] | None) -> list[tuple[int, int]]:
