@@ -28,7 +28,7 @@ class ChunkTokenizer:
     most: distinct chunks remembered before starting anew, which bounds the memory.
     """
 
-    def __init__(self, path: str | None = None, most: int = 1_000_000) -> None:
+    def __init__(self, path: str | None = None, most: int = 1_500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
