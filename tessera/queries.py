@@ -209,7 +209,7 @@ for _name, (_value, _sql) in _STRINGS.items():
 _TIMES = {
     "year": (D.year, "year(t)"), "month": (D.month, "month(t)"), "day": (D.day, "day(t)"), "hour": (D.hour, "hour(t)"), "minute": (D.minute, "minute(t)"),
     "second": (lambda t: F.round(D.second(t), 6), "round(second(t) + (microsecond(t) % 1000000) / 1e6, 6)"), "jd": (D.jd, "datediff('day', date '1970-01-01', cast(t as date)) + 2440588"),
-    "ajd": (lambda t: F.round(D.ajd(t), 6), "round(epoch_us(t) / 86400e6 + 2440587.5, 6)"), "is_leap": (D.is_leap, "year(t) % 4 = 0 and (year(t) % 100 <> 0 or year(t) % 400 = 0)"),
+    "ajd": (lambda t: F.round(D.ajd(t), 3), "round(epoch_us(t) / 86400e6 + 2440587.5, 3)"), "is_leap": (D.is_leap, "year(t) % 4 = 0 and (year(t) % 100 <> 0 or year(t) % 400 = 0)"),
     "strftime": (lambda t: D.strftime(t, "%Y/%m/%d %H:%M:%S"), "strftime(t, '%Y/%m/%d %H:%M:%S')"), "strptime": (lambda t: D.year(D.strptime(D.strftime(t, "%d.%m.%Y"), "%d.%m.%Y")), "year(t)"),
     "to_datetime": (lambda t: D.day(D.to_datetime(D.strftime(t, "%F"), "%F")), "day(t)"),
 }
