@@ -43,6 +43,8 @@ WIDE = {
 }
 #: A text without these characters has no match.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+#: Every obfuscated mail address has one of these.
+DOT = r"\[dot\]|\(dot\)|\x20dot\x20"
 
 # Fixed word lists of the gazetteer and context labelers.
 ENDINGS = ["com", "org", "net", "edu", "gov", "io", "info", "biz", "de", "fr", "es", "uk", "us", "eu", "ch", "at", "it", "nl"]
@@ -94,9 +96,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     for wide, patterns in ((False, BASE), (True, WIDE)):
         for kind, pattern in patterns.items():
             need = text.contains(NEEDS[kind]) if not wide and NEEDS[kind] else None
-            possible = {("email", True): text.rlike(r"\[at\]|\(at\)|\x20dot\x20"), ("ip", True): digits & text.contains(":"), ("email", False): need}.get((kind, wide), digits if need is None else digits & need)
+            possible = {("email", True): text.rlike(DOT), ("ip", True): digits & text.contains(":"), ("email", False): need}.get((kind, wide), digits if need is None else digits & need)
             lists.append(F.transform(spans(text, pattern, possible), labelled(kind, wide)))
-    some = docs.where(digits | text.contains("@") | text.rlike(r"\[at\]|\(at\)|\x20dot\x20"))
+    some = docs.where(digits | text.contains("@") | text.rlike(DOT))
     rows = some.select("doc_id", "text", F.explode(F.concat(*lists)).alias("c")).select("doc_id", "text", "c.*")
     before = F.lower(F.substring(F.col("text"), F.greatest(F.col("start") - CONTEXT + 1, F.lit(1)), F.least(F.col("start"), F.lit(CONTEXT))))
     after = F.substring(F.col("text"), F.col("end") + 1, F.lit(1))

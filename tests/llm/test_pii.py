@@ -78,3 +78,9 @@ def test_native_and_empty(spark):
     assert out.count() == 0
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_form_of_an_obfuscated_address_is_a_candidate(spark):
+    every = [f"mail: john{at}example{dot}com" for at in ("[at]", " (at) ", " at ") for dot in ("[dot]", " (dot) ", " dot ")]
+    rows = pii.candidates(frame(spark, every)).where("wide and kind = 'email'").collect()
+    assert {r.doc_id: r.found for r in rows} == {i: t[len("mail: ") :] for i, t in enumerate(every)}
