@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .shared import WordHashes, byte_texts, drop_tables, id_and_text, mix64, slices, split_words, starts_of, write_table
+from .shared import WordHashes, byte_texts, drop_tables, filter_of, id_and_text, marked, mix64, slices, split_words, starts_of, write_table
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 24, 6
 PERMUTATIONS = BANDS * ROWS // 2
 BITS, WORDS = 1024, 16
 TILE = 2000
+#: Pairs that a task holds before it sends them on.
+PAIRS = 100_000
 SALTS = 64
 
 _random = np.random.default_rng(20240229)
@@ -108,24 +110,35 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, n long, set_a long, set_b long, keys array<long>, bits array<long>")
 
 
+def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id, hashes (the sorted shingle hashes) of the documents of these ids. Other texts don't move: a filter tells them first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in slices(batches):
+            every, n = shingle_sets(byte_texts(batch.column("text")), known, width)
+            at, raw = starts_of(n).tolist(), memoryview(every.view(np.uint8))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([raw[8 * a : 8 * b] for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["doc_id", "hashes"])
+
+    some = marked(docs, "doc_id", filter_of(ids, "doc_id"), "may").where("may").drop("may")
+    return some.join(ids.hint("merge"), "doc_id").mapInArrow(run, "doc_id long, hashes binary")  # the same plan at every size
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets reach the similarity. A task holds the set of one `a` and reads its partners in a row."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = write_table(docs.join(wanted, "doc_id", "left_semi"), "texts")
+    """Those pairs (a, b) whose full sets reach the similarity. Sets are made once; a task holds that of one `a` and reads its partners in a row."""
+    ids = write_table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    sets = write_table(full_sets(docs, ids, width), "sets")
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
-    text = texts.select(F.col("doc_id").alias("b"), "text")
-    first = salted.select("a", "salt").distinct().withColumn("b", F.col("a")).join(text, "b").select("a", "salt", F.lit(0).alias("side"), "b", "text")
-    rest = salted.join(text, "b").select("a", "salt", F.lit(1).alias("side"), "b", "text")
+    other = sets.select(F.col("doc_id").alias("b"), "hashes")
+    sides = salted.select("a", "salt", F.lit(1).alias("side"), "b").union(salted.select("a", "salt").distinct().select("a", "salt", F.lit(0), F.col("a")))
+    dealt = sides.join(other.hint("merge"), "b").select("a", "salt", "side", "b", "hashes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         own = np.zeros(0, np.uint64)
-        for batch in slices(batches):
-            every, n = shingle_sets(byte_texts(batch.column("text")), known, width)
-            at = starts_of(n)
+        for batch in slices(batches, "hashes"):
             found = []
-            for i, side in enumerate(batch.column("side").to_pylist()):
-                other = every[at[i] : at[i + 1]]
+            for i, (side, raw) in enumerate(zip(batch.column("side").to_pylist(), batch.column("hashes"), strict=True)):
+                other = np.frombuffer(raw.as_buffer(), np.uint64)
                 if side == 0:
                     own = other.copy()
                 else:
@@ -135,9 +148,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             if found:
                 yield batch.select(["a", "b"]).take(pa.array(found))
 
-    links = first.union(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", "side").mapInArrow(compare, "a long, b long").distinct()
+    links = dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", "side").mapInArrow(compare, "a long, b long").distinct()
     links = write_table(links, "links")
-    drop_tables(texts)
+    drop_tables(ids, sets)
     return links
 
 
@@ -161,7 +174,7 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
             rep, component, n, tile = (group.column(c).to_numpy() for c in ("rep", "component", "n", "mine"))
             bits = group.column("bits").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            found = []
+            found, size_now = [], 0
             for k in range(len(rep)):
                 if i != j and tile[k] != i:
                     continue
@@ -172,10 +185,15 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 others = others[100 * np.minimum(size, n[k]) >= percent * np.maximum(size, n[k])]
                 apart = np.bitwise_count(bits[others] ^ bits[k]).sum(axis=1, dtype=np.int64)
                 others = others[(100 + percent) * apart <= (100 - percent) * (n[others] + n[k])]
-                found += [(min(rep[k], x), max(rep[k], x)) for x in rep[others].tolist()]
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                found.append(np.stack([np.minimum(rep[others], rep[k]), np.maximum(rep[others], rep[k])]))
+                size_now += len(others)
+                if size_now >= PAIRS:
+                    a, b = np.concatenate(found, axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    found, size_now = [], 0
+            if size_now:
+                a, b = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
@@ -219,9 +237,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     placed = buckets.join(part.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     rest = write_table(cross_pairs(placed.join(mixed, "key").join(sizes, "rep"), percent), "cross")
-    more = confirmed(rest, docs, width, percent)
-    whole = write_table(connected_components(links.union(more)), "components")
-    drop_tables(buckets, reps, part, rest)
+    whole = part
+    if not rest.isEmpty():
+        whole = write_table(connected_components(links.union(confirmed(rest, docs, width, percent))), "components")
+    drop_tables(buckets, reps, rest)
     out = members.join(whole.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

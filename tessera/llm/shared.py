@@ -51,6 +51,24 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: Rows of 64 bits in a filter: by the number of keys, and at most so many (64 MB).
+LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 22
+
+
+def filter_of(keys: DataFrame, name: str) -> DataFrame:
+    """A bit set of the hashed keys, as (row, bits) and the column `rows`, their number: about 16 bits a key, but never beyond MOST_ROWS rows, so it may be broadcast."""
+    rows, h = min(MOST_ROWS, max(LEAST_ROWS, 1 << (keys.count() // 4).bit_length())), F.xxhash64(name)
+    bits = keys.select(F.pmod(h, F.lit(rows)).alias("filter_row"), F.shiftright(h, 58).cast("int").alias("at")).groupBy("filter_row").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("filter_bits"))
+    return write_table(bits, "filter").withMetadata("filter_row", {"rows": rows})
+
+
+def marked(df: DataFrame, name: str, bits: DataFrame, may: str) -> DataFrame:
+    """df with the column `may`: false only where the key of that name is none of the filter's. df must not have columns filter_row and filter_bits."""
+    h, rows = F.xxhash64(name), bits.schema["filter_row"].metadata["rows"]
+    set_ = F.expr(f"(shiftright(filter_bits, cast(shiftright(xxhash64(`{name}`), 58) & 63 as int)) & 1) = 1")
+    return df.join(F.broadcast(bits), F.pmod(h, F.lit(rows)) == F.col("filter_row"), "left").withColumn(may, F.coalesce(set_, F.lit(False))).drop("filter_row", "filter_bits")
+
+
 def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     if isinstance(column, pa.ChunkedArray):
