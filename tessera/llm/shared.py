@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker looks at together; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,12 +76,18 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def inner(batch: pa.RecordBatch, path: str) -> pa.Array:
+    """A column, or a field of a struct column as column.field."""
+    name, *fields = path.split(".")
+    return pc.struct_field(batch.column(name), fields) if fields else batch.column(name)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that the texts of one slice have about limit bytes; a slice has at least one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(inner(batch, column)).fill_null(0).to_numpy(zero_copy_only=False)
         group = np.cumsum(sizes) // limit
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -100,7 +106,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word bytes to a signed 64-bit hash, remembered; it forgets everything when it has grown too large."""
 
-    def __init__(self, most: int = 500_000) -> None:
+    def __init__(self, most: int = 250_000) -> None:
         super().__init__()
         import xxhash
 

@@ -20,7 +20,8 @@ empty table gives no rows. doc_id must not be null or name different texts. Othe
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linededup import filter_of, marked
 from .neardup import runs
-from .shared import byte_texts, drop_tables, id_and_text, mix64, slices, write_table
+from .shared import byte_texts, drop_tables, filter_of, id_and_text, marked, mix64, slices, write_table
 
 MATCH, SEED = 50, 16
 LEFT = MATCH - SEED
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 FLUSH_BYTES = 12 << 20
-RUN_ROWS = 60_000
-#: Text bytes hashed together; the hashes take some sixty times as much.
+RUN_ROWS = 100_000
+#: Text bytes hashed together; the hashes take some sixty times as much. A longer text is hashed in segments.
 SLICE = 1 << 20
 _MOST = np.uint64(2**64 - 1)
 
@@ -53,7 +53,23 @@ def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, place and hash of each anchor."""
+    """Text number, place and hash of each anchor. A long text is looked at in segments, each with the bytes that decide on its anchors."""
+    if sum(map(len, texts)) <= 2 * SLICE:
+        return anchors_of(texts)
+    parts = []
+    for i, text in enumerate(texts):
+        for a in range(0, max(1, len(text)), SLICE):
+            low = max(0, a - LEFT)
+            _, place, h = anchors_of([text[low : a + SLICE + MATCH]])
+            place = place + low
+            own = (place >= a) & (place < a + SLICE)
+            parts.append((np.full(int(own.sum()), i), place[own], h[own]))
+    owner, place, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return owner, place, h
+
+
+def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, place and hash of each anchor of texts held together."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     n = int(sizes.sum())
     none = np.zeros(0, np.int64)
@@ -96,20 +112,24 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             c, h = np.concatenate(same), np.concatenate(hashes)
-            order = np.argsort(h)
+            order = np.lexsort((c, h, h % np.uint64(buckets)))
             c, h = c[order], h[order]
+            first = np.flatnonzero(np.diff(h, prepend=h[:1] ^ _MOST))
+            last = np.append(first[1:], len(h)) - 1
+            many = c[first] != c[last[: len(first)]] if len(h) else np.zeros(0, bool)
+            known = np.repeat(many, np.diff(first, append=len(h)))  # what meets here already needs no answer
+            numbers, kinds, blobs = [int(mix64(np.uint64([batch_number]))[0] % np.uint64(buckets))], [1], [c[known].tobytes() + h[known].tobytes()]
+            c, h = c[first], h[first]  # others only have to know that this anchor is there, and whether in two texts
             bucket = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            c, h, bucket = c[order], h[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
-            numbers, blobs = [], []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets)).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
                 own, which = np.unique(c[a:b], return_inverse=True)
                 width = "<u2" if len(own) <= 1 << 16 else "<u4"
                 six = h[a:b].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()  # 48 of its bits
                 numbers.append(int(bucket[a]))
-                blobs.append(np.asarray([b - a, len(own)], "<u4").tobytes() + own.tobytes() + which.astype(width).tobytes() + six)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([batch_number] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "batch", "blob"])
+                kinds.append(0)
+                blobs.append(np.asarray([b - a, len(own)], "<u4").tobytes() + own.tobytes() + which.astype(width).tobytes() + six + np.packbits(many[a:b]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([batch_number] * len(blobs), pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "batch", "kind", "blob"])
             same.clear()
             hashes.clear()
 
@@ -127,26 +147,32 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One answer to each batch that sent something: texts and those of their anchors that another text has."""
-        for group in runs(batches, ["bucket"]):
-            c, h, sizes = [], [], []
+        for group in runs(batches, ["bucket", "kind"]):
+            if group.column("kind")[0].as_py():
+                yield from group.select(["batch", "blob"]).to_batches()
+                continue
+            c, h, met, sizes = [], [], [], []
             for blob in group.column("blob").to_pylist():
                 n, m = np.frombuffer(blob, "<u4", 2).tolist()
                 own = np.frombuffer(blob, np.uint64, m, 8)
                 width = "<u2" if m <= 1 << 16 else "<u4"
                 at = 8 + 8 * m
                 c.append(own[np.frombuffer(blob, width, n, at)])
+                at += n * np.dtype(width).itemsize
                 six = np.zeros((n, 8), np.uint8)
-                six[:, 2:] = np.frombuffer(blob, np.uint8, 6 * n, at + n * np.dtype(width).itemsize).reshape(-1, 6)
+                six[:, 2:] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(-1, 6)
                 h.append(six.view(np.uint64).ravel())
+                met.append(np.unpackbits(np.frombuffer(blob, np.uint8, offset=at + 6 * n), count=n).astype(bool))
                 sizes.append(n)
-            c, h = np.concatenate(c), np.concatenate(h)
+            c, h, met = np.concatenate(c), np.concatenate(h), np.concatenate(met)
             if not len(h):
                 continue
             order = np.argsort(h, kind="stable")
             first = np.flatnonzero(np.diff(h[order], prepend=h[order[0]] ^ _MOST))
-            many = np.minimum.reduceat(c[order], first) != np.maximum.reduceat(c[order], first)
+            many = (np.minimum.reduceat(c[order], first) != np.maximum.reduceat(c[order], first)) | np.logical_or.reduceat(met[order], first)
             there = np.empty(len(h), bool)
             there[order] = np.repeat(many, np.diff(first, append=len(h)))
+            there &= ~met  # its sender knows that
             numbers, blobs = [], []
             ends = np.cumsum(sizes).tolist()
             for number, n, b in zip(group.column("batch").to_pylist(), sizes, ends, strict=True):
@@ -164,70 +190,178 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             h = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16, len(x) // 2) for x in blobs])
             order = np.argsort(c, kind="stable")
             c, h = c[order], h[order]
+            if not len(c):
+                continue
             cuts = np.flatnonzero(np.diff(c, prepend=c[:1] ^ _MOST)).tolist() + [len(c)]
             raw = memoryview(h.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(c[cuts[:-1]].view(np.int64)), pa.array([bytes(raw[8 * a : 8 * b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["same", "anchors"])
 
-    sent = docs.mapInArrow(send, "bucket long, batch long, blob binary")
-    met = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "batch long, blob binary")
+    sent = docs.mapInArrow(send, "bucket long, batch long, kind int, blob binary")
+    met = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(meet, "batch long, blob binary")
     return met.repartition("batch").sortWithinPartitions("batch").mapInArrow(sort_out, "same long, anchors binary")
 
 
+def shared_lengths(wide: np.ndarray) -> np.ndarray:
+    """Bytes that each row shares with the row before."""
+    differ = wide[1:] != wide[:-1]
+    return np.concatenate([np.zeros(min(1, len(wide)), np.int64), np.where(differ.any(axis=1), differ.argmax(axis=1), wide.shape[1])])
+
+
 def front_coded(strings: list[bytes]) -> tuple[np.ndarray, bytes]:
     """Length shared with the string before (trailing zero bytes count as there), and the rests in a row. The strings are sorted."""
     wide = np.frombuffer(b"".join(s.ljust(MATCH, b"\0") for s in strings), np.uint8).reshape(-1, MATCH)
-    differ = wide[1:] != wide[:-1]
-    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), MATCH)
-    shared = np.concatenate([[0], shared])
+    shared = shared_lengths(wide)
     return shared, b"".join(s[k:] for s, k in zip(strings, shared.tolist(), strict=True))
 
 
+class Suffixes:
+    """Suffixes as rows of arrays: MATCH bytes from an anchor on, the LEFT bytes before it backwards, how many of these the text has, doc id, place. Bytes beyond a text are zero."""
+
+    NAMES = ("right", "left", "n_right", "n_left", "doc", "place")
+
+    def __init__(self, right: np.ndarray, left: np.ndarray, n_right: np.ndarray, n_left: np.ndarray, doc: np.ndarray, place: np.ndarray) -> None:
+        self.right, self.left, self.n_right, self.n_left, self.doc, self.place = right, left, n_right, n_left, doc, place
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+    def take(self, at) -> Suffixes:
+        return Suffixes(*(getattr(self, k)[at] for k in self.NAMES))
+
+    @classmethod
+    def together(cls, parts: list[Suffixes]) -> Suffixes:
+        return cls(*(np.concatenate([getattr(p, k) for p in parts]) for k in cls.NAMES))
+
+    @classmethod
+    def of(cls, texts: list[bytes], owner: np.ndarray, place: np.ndarray, docs: np.ndarray) -> Suffixes:
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        raw = np.frombuffer(bytes(LEFT) + b"".join(texts) + bytes(MATCH), np.uint8)
+        at = (np.cumsum(sizes) - sizes)[owner] + place + LEFT
+        n_right, n_left = np.minimum(sizes[owner] - place, MATCH).astype(np.uint8), np.minimum(place, LEFT).astype(np.uint8)
+        right = np.lib.stride_tricks.sliding_window_view(raw, MATCH)[at]
+        left = np.lib.stride_tricks.sliding_window_view(raw, LEFT)[at - LEFT][:, ::-1]
+        return cls(np.where(np.arange(MATCH) < n_right[:, None], right, np.uint8(0)), np.where(np.arange(LEFT) < n_left[:, None], left, np.uint8(0)), n_right, n_left, docs[owner], place)
+
+    def dump(self) -> bytes:
+        """The rows, sorted by `right`, front-coded."""
+        shared = shared_lengths(self.right)
+        rest = self.right[(np.arange(MATCH) >= shared[:, None]) & (np.arange(MATCH) < self.n_right[:, None])]
+        left = self.left[np.arange(LEFT) < self.n_left[:, None]]
+        return b"".join([np.asarray([len(self), len(rest)], "<u4").tobytes(), self.doc.astype("<i8").tobytes(), self.place.astype("<i8").tobytes(), self.n_right.tobytes(), self.n_left.tobytes(), shared.astype(np.uint8).tobytes(), rest.tobytes(), left.tobytes()])
+
+    @classmethod
+    def load(cls, blob: bytes) -> tuple[Suffixes, bytes]:
+        """The rows, and the length that each shares with the one before."""
+        n, m = np.frombuffer(blob, "<u4", 2).tolist()
+        doc, place = np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<i8", n, 8 + 8 * n)
+        at = 8 + 16 * n
+        n_right, n_left, shared = (np.frombuffer(blob, np.uint8, n, at + k * n) for k in range(3))
+        at += 3 * n
+        right, left = np.zeros((n, MATCH), np.uint8), np.zeros((n, LEFT), np.uint8)
+        right[(np.arange(MATCH) >= shared[:, None]) & (np.arange(MATCH) < n_right[:, None])] = np.frombuffer(blob, np.uint8, m, at)
+        left[np.arange(LEFT) < n_left[:, None]] = np.frombuffer(blob, np.uint8, offset=at + m)
+        row = np.arange(n)
+        for k in range(MATCH):  # each byte from the last row that has its own
+            right[:, k] = right[np.maximum.accumulate(np.where(shared <= k, row, 0)), k]
+        return cls(right, left, n_right, n_left, doc, place), shared.tobytes()
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and last number of bytes left of the anchor in strings of MATCH bytes."""
+        return np.maximum(MATCH - self.n_right.astype(np.int64), 0), np.minimum(self.n_left.astype(np.int64), LEFT)
+
+
+def stretches(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Rows (doc, start, end) of maximal stretches, by document."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    which = np.cumsum(np.diff(doc, prepend=doc[:1]) != 0)
+    far = int(end.max()) + 1 if len(end) else 1
+    reach = np.maximum.accumulate(end + which * far) - which * far  # of this document only, for places stay under `far`
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    return np.stack([doc[first], start[first], reach[last[: len(first)]]], axis=1).astype("<i8")
+
+
 def suffix_runs(found: DataFrame, buckets: int) -> DataFrame:
-    """bucket, run: sorted, front-coded suffixes from the shared anchors of a task's texts. found: doc_id, text, anchors (list of binary)."""
+    """bucket, kind, run. Kind 0: sorted, front-coded suffixes from the shared anchors of a task's texts. Kind 1: stretches (of a share of the documents) whose whole surroundings a smaller document of the same task has; these suffixes need not be sent. found: doc_id, text, anchors (list of binary)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, bytes, int, int]] = []
+        held: list[Suffixes] = []
+        marks: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            held.sort(key=lambda r: (r[0], r[1].ljust(MATCH, b"\0")))
-            numbers, blobs = [], []
-            a = 0
-            while a < len(held):
-                bucket = held[a][0]
-                b = a
-                while b < len(held) and held[b][0] == bucket:
-                    b += 1
-                part = held[a:b]
-                shared, rest = front_coded([r[1] for r in part])
-                left = b"".join(r[2] for r in part)
-                sizes = bytes(len(r[1]) for r in part) + bytes(len(r[2]) for r in part) + shared.astype(np.uint8).tobytes()
-                numbers.append(bucket)
-                blobs.append(np.asarray([len(part), len(rest)], "<u4").tobytes() + np.asarray([r[3] for r in part], "<i8").tobytes() + np.asarray([r[4] for r in part], "<i8").tobytes() + sizes + rest + left)
-                a = b
+            rows, bucket = Suffixes.together(held), np.concatenate(marks)
+            if not len(rows):
+                return
+            key = np.concatenate([bucket.astype(">u4").view(np.uint8).reshape(-1, 4), rows.right, rows.n_right[:, None], rows.left, rows.n_left[:, None], (rows.doc.astype(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)], axis=1)
+            order = np.argsort(np.ascontiguousarray(key).view(f"S{key.shape[1]}").ravel(), kind="stable")
+            key, rows, bucket = key[order, :-8], rows.take(order), bucket[order]
+            first = np.ones(len(rows), bool)
+            first[1:] = (key[1:] != key[:-1]).any(axis=1)
+            least = rows.doc[np.flatnonzero(first)][np.cumsum(first) - 1]
+            gone = rows.doc > least
+            numbers, kinds, blobs = [], [], []
+            if gone.any():
+                some = rows.take(gone)
+                low, high = some.windows()
+                some, low, high = some.take(low <= high), low[low <= high], high[low <= high]
+                spans = stretches(some.doc, some.place - high, some.place - low + MATCH)
+                numbers, blobs = shared_out(spans, buckets)
+                kinds = [1] * len(numbers)
+            rows, bucket = rows.take(~gone), bucket[~gone]
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets)).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                numbers.append(int(bucket[a]))
+                kinds.append(0)
+                blobs.append(rows.take(slice(a, b)).dump())
             held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "run"])
+            marks.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "run"])
 
         for batch in slices(batches, limit=SLICE):
             texts = byte_texts(batch.column("text"))
-            docs = batch.column("doc_id").to_pylist()
             owner, place, h = anchors(texts)
             h48 = h & np.uint64(0xFFFFFFFFFFFF0000)
             cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-            for i, (text, blobs) in enumerate(zip(texts, batch.column("anchors").to_pylist(), strict=True)):
-                a, b = cuts[i], cuts[i + 1]
-                wanted = np.isin(h48[a:b], np.frombuffer(b"".join(blobs), np.uint64))
-                for p, k in zip(place[a:b][wanted].tolist(), (h[a:b][wanted] % np.uint64(buckets)).tolist(), strict=True):
-                    held.append((k, text[p : p + MATCH], text[max(0, p - LEFT) : p][::-1], docs[i], p))
-            if len(held) >= RUN_ROWS:
+            wanted = np.zeros(len(owner), bool)
+            for i, blobs in enumerate(batch.column("anchors").to_pylist()):
+                wanted[cuts[i] : cuts[i + 1]] = np.isin(h48[cuts[i] : cuts[i + 1]], np.frombuffer(b"".join(blobs), np.uint64) & np.uint64(0xFFFFFFFFFFFF0000))
+            held.append(Suffixes.of(texts, owner[wanted], place[wanted], batch.column("doc_id").to_numpy()))
+            marks.append((h48[wanted] % np.uint64(buckets)).astype(np.int64))
+            if sum(map(len, held)) >= RUN_ROWS:
                 yield from flush()
         if held:
             yield from flush()
 
-    return found.mapInArrow(send, "bucket long, run binary")
+    return found.mapInArrow(send, "bucket long, kind int, run binary")
+
+
+def shared_out(spans: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    """Rows (doc, start, end) by share of the documents."""
+    share = (mix64(spans[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    sort = np.argsort(share, kind="stable")
+    share, spans = share[sort], spans[sort]
+    cuts = np.flatnonzero(np.diff(share, prepend=-1, append=buckets)).tolist()
+    return share[cuts[:-1]].tolist(), [spans[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+class Rows:
+    """The rows of an array of bytes, each made when it is asked for."""
 
+    def __init__(self, wide: np.ndarray) -> None:
+        self.raw, self.n, self.width = wide.tobytes(), len(wide), wide.shape[1]
 
-def merge(strings: list[list[bytes]], shared: list[list[int]]) -> tuple[list[tuple[int, int]], list[int]]:
-    """The order (run, place in it) of all strings of sorted runs, and the length that each shares with the one before.
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.raw[i * self.width : (i + 1) * self.width]
+
+
+def merge(strings: Sequence[Sequence[bytes]], shared: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The order (rows of run, place in it) of all strings of sorted runs, and the length that each shares with the one before.
 
     A loser tree. Every head has the length that it shares with the last string put out. Of two heads the one that shares
     more is the smaller and the other keeps its length; only with equal lengths are bytes compared, from there on, and the
@@ -276,11 +410,11 @@ def merge(strings: list[list[bytes]], shared: list[list[int]]) -> tuple[list[tup
         level = above
         width //= 2
     winner = level[0]
-    order: list[tuple[int, int]] = []
-    lengths: list[int] = []
+    order, lengths = array("q"), array("B")
     while heads[winner] is not None:
         run = winner
-        order.append((run, at[run]))
+        order.append(run)
+        order.append(at[run])
         lengths.append(same[run])
         i = at[run] = at[run] + 1
         if i < len(strings[run]):
@@ -296,78 +430,49 @@ def merge(strings: list[list[bytes]], shared: list[list[int]]) -> tuple[list[tup
             run = won
             node //= 2
         winner = run
-    return order, lengths
-
-
-def read_run(blob: bytes) -> tuple[list[bytes], list[int], list[bytes], np.ndarray, np.ndarray]:
-    """Suffixes, shared lengths, left contexts, doc ids and places."""
-    n, m = np.frombuffer(blob, "<u4", 2).tolist()
-    docs, places = np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<i8", n, 8 + 8 * n)
-    at = 8 + 16 * n
-    right, left, shared = blob[at : at + n], blob[at + n : at + 2 * n], blob[at + 2 * n : at + 3 * n]
-    at += 3 * n
-    strings, last = [], b""
-    for size, k in zip(right, shared, strict=True):
-        if size > k:
-            last = last[:k].ljust(k, b"\0") + blob[at : at + size - k]
-            at += size - k
-        else:
-            last = last[:size].ljust(size, b"\0")
-        strings.append(last)
-    lefts = []
-    for size in left:
-        lefts.append(blob[at : at + size])
-        at += size
-    return strings, list(shared), lefts, docs, places
+    return np.asarray(order).reshape(-1, 2), np.asarray(lengths)
 
 
 def repeated_spans(sent: DataFrame, buckets: int) -> DataFrame:
     """doc_id, spans (int64 pairs): stretches of each document that smaller documents have, as far as this bucket's anchors tell."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["bucket"]):
-            parts = [read_run(x) for x in group.column("run").to_pylist()]
-            order, lengths = merge([p[0] for p in parts], [p[1] for p in parts])
-            base = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
-            both = np.asarray(order, np.int64).reshape(-1, 2)
-            index = base[both[:, 0]] + both[:, 1]
-            n = len(index)
-            shared = np.asarray(lengths, np.int64)
-            doc = np.concatenate([p[3] for p in parts])[index]
-            place = np.concatenate([p[4] for p in parts])[index]
-            right = np.fromiter((len(s) for p in parts for s in p[0]), np.int64, n)[index]
-            lefts = [x for p in parts for x in p[2]]
-            left = np.fromiter(map(len, lefts), np.int64, n)[index]
-            bytes_left = np.frombuffer(b"".join(x.ljust(LEFT, b"\0") for x in lefts), np.uint8).reshape(-1, LEFT)[index]
-            context = np.zeros(n, np.uint64)
-            covered = np.zeros((n, LEFT + 1), bool)
+        for group in runs(batches, ["bucket", "kind"]):
+            if group.column("kind")[0].as_py():
+                yield from group.select(["bucket", "run"]).rename_columns(["share", "found"]).to_batches()
+                continue
+            parts, shared = zip(*(Suffixes.load(x) for x in group.column("run").to_pylist()), strict=True)
+            del group
+            order, lengths = merge([Rows(p.right) for p in parts], shared)
+            base = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            rows = Suffixes.together(parts).take(base[order[:, 0]] + order[:, 1])
+            del parts, shared, order
+            doc, n = rows.doc, len(rows)
+            by_left = np.argsort(np.ascontiguousarray(rows.left).view(f"S{LEFT}").ravel(), kind="stable")
+            left_shared = shared_lengths(rows.left[by_left])
+            low, high = rows.windows()
+            start, end = np.zeros((2, n), np.int64)  # strings around one anchor overlap, so their union is one stretch
+            same = np.empty(n, np.int64)
             for i in range(LEFT + 1):
-                if i:
-                    context = mix64(context + bytes_left[:, i - 1].astype(np.uint64) + np.uint64(1))
-                there = np.flatnonzero((left >= i) & (right >= MATCH - i))
+                there = np.flatnonzero((high >= i) & (low <= i))
                 if not len(there):
                     continue
-                interval = np.cumsum(shared < MATCH - i).astype(np.uint64)[there]
-                key = mix64(context[there] + interval * np.uint64(0x9E3779B97F4A7C15))
+                same[by_left] = np.cumsum(left_shared < i)  # of equal bytes left of the anchor: by their common prefix
+                interval = np.cumsum(lengths < MATCH - i)  # and right of it
+                key = interval[there] * (n + 1) + same[there]
                 sort = np.argsort(key)
-                first = np.flatnonzero(np.diff(key[sort], prepend=key[sort[0]] ^ _MOST))
+                first = np.flatnonzero(np.diff(key[sort], prepend=-1))
                 own = doc[there][sort]
                 least = np.repeat(np.minimum.reduceat(own, first), np.diff(first, append=len(own)))
-                covered[there[sort[least < own]], i] = True
-            row, i = np.nonzero(covered)
-            if not len(row):
+                hit = there[sort[least < own]]
+                fresh = hit[end[hit] == 0]
+                end[fresh] = rows.place[fresh] - i + MATCH
+                start[hit] = rows.place[hit] - i
+            some = np.flatnonzero(end)
+            if not len(some):
                 continue
-            d, a = doc[row], place[row] - i
-            sort = np.lexsort((a, d))
-            d, a = d[sort], a[sort]
-            new = np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] > a[:-1] + MATCH)])  # all stretches are MATCH long here
-            start = np.flatnonzero(new)
-            last = np.append(start[1:], len(a)) - 1
-            found = np.stack([d[start], a[start], a[last] + MATCH], axis=1).astype("<i8")
-            share = (mix64(found[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            sort = np.argsort(share, kind="stable")
-            cuts = np.flatnonzero(np.diff(share[sort], prepend=-1, append=buckets)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(share[sort][cuts[:-1]]), pa.array([found[sort[x:y]].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["share", "found"])
+            share, found = shared_out(stretches(doc[some], start[some], end[some]), buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(share, pa.int64()), pa.array(found, pa.binary())], ["share", "found"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The stretches that all buckets found in a share of the documents, by document."""
@@ -378,7 +483,7 @@ def repeated_spans(sent: DataFrame, buckets: int) -> DataFrame:
             docs = found[cuts[:-1], 0]
             yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array([found[x:y, 1:].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["doc_id", "spans"])
 
-    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(work, "share long, found binary")
+    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(work, "share long, found binary")
     return found.repartition("share").sortWithinPartitions("share").mapInArrow(gather, "doc_id long, spans binary")
 
 
@@ -399,16 +504,16 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     total = marks.agg(F.sum("size")).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
     hits = write_table(shared_anchors(docs.where(F.octet_length("text") >= MATCH), buckets).groupBy("same").agg(F.collect_list("anchors").alias("anchors")), "anchors")
-    wanted = classes.select(F.col("rep").alias("doc_id"), "same").join(hits, "same").select("doc_id", "anchors")
+    wanted = write_table(classes.select(F.col("rep").alias("doc_id"), "same").join(hits, "same").select("doc_id", "anchors"), "wanted")
     texts = docs.select("doc_id", "text")
-    sent = suffix_runs(marked(texts, "doc_id", filter_of(wanted, "doc_id")).where("_may").select("doc_id", "text").join(wanted.hint("merge"), "doc_id"), buckets)
+    sent = suffix_runs(marked(texts, "doc_id", filter_of(wanted, "doc_id"), "may").where("may").select("doc_id", "text").join(wanted.hint("merge"), "doc_id"), buckets)
     spans = write_table(repeated_spans(sent, buckets), "spans")
-    drop_tables(hits)
+    drop_tables(hits, wanted)
     copies = marks.where(F.col("size") >= MATCH).join(classes, ["same", "crc", "size"]).where("doc_id > rep").select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("binary").alias("spans"))
     found = write_table(copies.union(spans.select("doc_id", F.lit(False), "spans")).groupBy("doc_id").agg(F.max("copy").alias("copy"), F.collect_list("spans").alias("spans")), "found")
-    told = marked(texts, "doc_id", filter_of(found, "doc_id"))  # only texts that can lose something move
-    whole = told.where("not _may").select("doc_id", "text", F.lit(None).cast("boolean").alias("copy"), F.lit(None).cast("array<binary>").alias("spans"))
-    return whole.union(told.where("_may").select("doc_id", "text").join(found.hint("merge"), "doc_id", "left"))
+    told = marked(texts, "doc_id", filter_of(found, "doc_id"), "may")  # only texts that can lose something move
+    whole = told.where("not may").select("doc_id", "text", F.lit(None).cast("boolean").alias("copy"), F.lit(None).cast("array<binary>").alias("spans"))
+    return whole.union(told.where("may").select("doc_id", "text").join(found.hint("merge"), "doc_id", "left"))
 
 
 def removed_spans(size: int, copy: bool | None, blobs: list[bytes] | None) -> list[tuple[int, int]]:

@@ -76,3 +76,34 @@ def test_each_match_has_an_anchor_chosen_by_its_bytes():
             chosen = min(k for k, x in inside if x == least)
             assert seen.setdefault(text[s : s + 50], chosen) == chosen
     assert np.diff(owner).min() >= 0
+
+
+def test_long_texts_in_segments(monkeypatch):
+    rng = random.Random(5)
+    text = bytes(rng.choice(b"ab") for _ in range(9000))
+    whole = suffix.anchors_of([text, b"x" * 60, b""])
+    monkeypatch.setattr(suffix, "SLICE", 700)
+    for a, b in zip(suffix.anchors([text, b"x" * 60, b""]), whole, strict=True):
+        assert (a == b).all()
+
+
+def test_a_passage_in_most_documents(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "RUN_ROWS", 50)
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    every = [f"{rng.random()} {passage if i % 3 else passage[40:200]} {rng.random()}" for i in range(80)]
+    want = brute(every)
+    got = sorted(suffix.digests(frame(spark, every).repartition(5)).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == [(*w[:3], hashlib.sha256(w[3]).hexdigest()) for w in want]
+
+
+def test_runs_are_read_as_written():
+    rng = random.Random(7)
+    every = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 130))) for _ in range(30)]
+    owner, place, _ = suffix.anchors(every)
+    rows = suffix.Suffixes.of(every, owner, place, np.arange(30))
+    rows = rows.take(np.argsort([bytes(r) for r in rows.right], kind="stable"))
+    back, shared = suffix.Suffixes.load(rows.dump())
+    assert all((getattr(back, k) == getattr(rows, k)).all() for k in rows.NAMES) and len(shared) == len(rows) > 0
+    for r, p, d in zip(rows.right, rows.place.tolist(), rows.doc.tolist(), strict=True):
+        assert bytes(r) == every[d][p : p + suffix.MATCH].ljust(suffix.MATCH, b"\0")
