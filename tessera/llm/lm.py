@@ -1,17 +1,21 @@
 """Language-model scoring with a gated recurrent network in numpy.
 
-The corpus is counted first, whole: tasks send the distinct word hashes of a chunk of documents with their training
-counts, buckets of hashes add them up and send every chunk the counts of its words back. The KEPT most frequent tokens
-get output classes of CLASS_SIZE tokens by rank; all others are the tail class. A gated recurrent unit predicts the class
-of the next token and, in a second softmax, the token within its class; within the tail, words follow their smoothed
-counts, and one share, the tail tokens that occur once (the Good-Turing estimate), is for words never met in training.
+Documents are dealt into chunks by their id, in a fixed order, and tokenised once. Tasks send the distinct word hashes of a
+chunk with their training counts, buckets of hashes add them up and send every chunk the counts of its words back; from
+then on a chunk is its tokens' ranks. The most frequent tokens, more of them the larger the corpus (kept_tokens), get
+outputs of their own in classes by rank; all others are the tail class. A gated recurrent unit predicts the class of the
+next token and, in a second softmax, the token within its class; within the tail, words follow their smoothed counts, and
+one share, the tail tokens that occur once (the Good-Turing estimate), is for words never met in training.
 
 Training is truncated backpropagation through WINDOW steps with state carried on, over all training documents: each
-task trains a copy on its documents, cut into streams of equal length, and the copies are averaged by their tokens, and the average starts the next round;
-every training document is used in one round. Scoring carries the state from the first to the last token of a document.
+chunk trains a copy on its documents, cut into streams of equal length, the copies are averaged by their tokens, and the
+average starts the next round; every training document is used in one round. Scoring carries the state from the first to
+the last token of a document, and runs documents of similar length side by side.
 
 Defined cases: a null or empty text is its end token alone; equal texts get equal scores; without training documents every
-probability is that of an unknown token; an empty table gives no rows. Other columns are ignored.
+probability is that of an unknown token; an empty table gives no rows; repeated rows are documents of their own, with equal
+scores; a null doc_id trains and is scored like any other; a very long text is tokenised in pieces and never fills a grid
+beyond five times its tokens. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import io
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .neardup import runs
-from .shared import WordHashes, byte_texts, id_and_text, mix64, slices, split_words, starts_of, write_table
+from .shared import SLICE_BYTES, WordHashes, byte_texts, drop_tables, id_and_text, mix64, slices, split_words, starts_of, write_table
 
-KEPT, CLASS_SIZE, HIDDEN = 1024, 32, 16
+LEAST_KEPT, ROOT_KEPT, HIDDEN = 1024, 18, 16
 STREAMS, WINDOW, RATE = 512, 16, 0.01
 #: Shares of the training documents in each round.
 ROUNDS = (0.15, 0.85)
-CHUNK_BYTES = 24 << 20
-#: Tokens scored together: the longest text of many leaves fewer streams idle.
-SCORE_TOKENS = 2_000_000
+CHUNK_BYTES = 8 << 20
+#: Tokens of a row of a chunk, about: rows are of moderate size, and only a very long text has a large one.
+ROW_TOKENS = 100_000
+#: Tokens scored together, and places of a grid that pass the outputs together.
+SCORE_TOKENS, SCORE_CELLS = 4_000_000, 16_384
 #: Stands for the end of a text among word hashes.
 END = np.uint64(0x9E3779B97F4A7C15)
 FOLDS, HELD_OUT = 5, 1
@@ -59,53 +66,107 @@ def token_hashes(texts: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.
 # ---- counts
 
 
-def chunked(docs: DataFrame, chunks: int) -> DataFrame:
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long"))
-
-
-def chunk_words(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, chunk, blob: the distinct token hashes of a chunk (uint64, sorted) and their training counts (int64)."""
+def long_pieces(text: bytes, limit: int = SLICE_BYTES) -> list[bytes]:
+    """The text in pieces of about limit bytes, cut at white space."""
+    if len(text) <= limit:
+        return [text]
+    out, a = [], 0
+    while a < len(text):
+        b = min(a + limit, len(text))
+        while b < len(text) and text[b] not in b" \t\n\v\f\r":
+            b += 1
+        out.append(text[a:b])
+        a = b
+    return out
+
+
+class Chunk:
+    """Documents of one chunk: ids, tokens of each, and tokens as places among the chunk's distinct hashes."""
+
+    def __init__(self) -> None:
+        self.docs: list[int | None] = []
+        self.counts: list[np.ndarray] = []
+        self.types: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
+
+    def add(self, batch: pa.RecordBatch, known: WordHashes) -> None:
+        texts = byte_texts(batch.column("text"))
+        parts = [long_pieces(t) for t in texts]
+        whole = len(parts) == sum(map(len, parts))
+        for own in [[p] for part in parts for p in part] if not whole else [texts]:  # a very long text piece by piece
+            h, counts = token_hashes(own, known)
+            types, which = np.unique(h, return_inverse=True)
+            self.types.append(types)
+            self.places.append(which.astype(np.uint32))
+            self.counts.append(counts)
+        if not whole:  # only the last piece of a text has an end token
+            n = len(texts)
+            pieces = self.counts[-sum(map(len, parts)) :]
+            del self.counts[-len(pieces) :]
+            counts, k = np.zeros(n, np.int64), 0
+            for i, part in enumerate(parts):
+                for j in range(len(part)):
+                    own = int(pieces[k][0]) - (j < len(part) - 1)
+                    at = k - len(pieces)
+                    self.places[at] = self.places[at][:own]
+                    counts[i] += own
+                    k += 1
+            self.counts.append(counts)
+        self.docs += batch.column("doc_id").to_pylist()
+
+    def done(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of each document, distinct hashes (sorted), their training counts, and the tokens' places."""
+        types = np.unique(np.concatenate(self.types))
+        places = np.concatenate([np.searchsorted(types, t).astype(np.uint32)[p] for t, p in zip(self.types, self.places, strict=True)])
+        counts = np.concatenate(self.counts)
+        learns = np.repeat(np.asarray([fold(d) != HELD_OUT for d in self.docs]), counts)
+        return counts, types, np.bincount(places[learns], minlength=len(types)).astype(np.int64), places
+
+
+def encoded(docs: DataFrame, chunks: int, buckets: int) -> DataFrame:
+    """side 1 and on: some of a chunk's documents (ids, counts) and their tokens as places (uint32, blob). side 0: a bucket of its distinct hashes (uint64, sorted) and their training counts (int64).
+
+    Which chunk a document is in, and its place there, depend on its id and text and the size of the corpus alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes(250_000)
-        now, own = None, []
-
-        def reduced() -> tuple[np.ndarray, np.ndarray]:
-            h, n = (np.concatenate(x) for x in zip(*own, strict=True))
-            order = np.argsort(h, kind="stable")
-            h, n = h[order], n[order]
-            first = np.flatnonzero(np.diff(h, prepend=h[0] ^ np.uint64(1)))
-            return h[first], np.add.reduceat(n, first)
+        now, own = None, Chunk()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, n = reduced()
-            place = (mix64(h) % np.uint64(buckets)).astype(np.int64)
+            counts, types, n, places = own.done()
+            ends = np.cumsum(counts)
+            cuts = [0, *(np.flatnonzero(np.diff((ends - counts) // ROW_TOKENS)) + 1).tolist(), len(counts)]
+            for side, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False), 1):
+                blob = places[ends[a] - counts[a] : ends[b - 1]].tobytes()
+                yield pa.RecordBatch.from_pylist([{"side": side, "bucket": None, "chunk": now, "docs": own.docs[a:b], "counts": counts[a:b].tolist(), "blob": blob}], ENCODED)
+            place = (mix64(types) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(place, kind="stable")
-            h, n, place = h[order], n[order], place[order]
+            types, n, place = types[order], n[order], place[order]
             cuts = np.flatnonzero(np.diff(place, prepend=-1, append=buckets)).tolist()
-            blobs = [h[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(place[cuts[:-1]]), pa.array([now] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "blob"])
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield pa.RecordBatch.from_pylist([{"side": 0, "bucket": int(place[a]), "chunk": now, "docs": None, "counts": None, "blob": types[a:b].tobytes() + n[a:b].tobytes()}], ENCODED)
 
         for whole in batches:
             at = whole.column("chunk").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)] if len(at) else []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                if own and at[a] != now:
+                if own.docs and at[a] != now:
                     yield from flush()
-                    own = []
+                    own = Chunk()
                 now = int(at[a])
                 for batch in slices(iter([whole.slice(a, b - a)])):
-                    h, counts = token_hashes(byte_texts(batch.column("text")), known)
-                    trains = np.asarray([fold(d) != HELD_OUT for d in batch.column("doc_id").to_pylist()], np.int64)
-                    order = np.argsort(h)
-                    first = np.flatnonzero(np.diff(h[order], prepend=h[order[0]] ^ np.uint64(1)))
-                    own.append((h[order][first], np.add.reduceat(np.repeat(trains, counts)[order], first)))
-                    if len(own) > 8:
-                        own = [reduced()]
-        if own:
+                    own.add(batch, known)
+        if own.docs:
             yield from flush()
 
-    return docs.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "bucket long, chunk long, blob binary")
+    placed = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long"))
+    return placed.repartition(chunks, "chunk").sortWithinPartitions("chunk", "doc_id", F.xxhash64("text")).mapInArrow(run, "side int, bucket long, chunk long, docs array<long>, counts array<long>, blob binary")
+
+
+#: How tables of blobs are written: pages end by their size, not after a hundred rows, and the rows of a chunk are never parted.
+BLOBS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4", "parquet.enable.dictionary": "false", "parquet.block.size": str(1 << 30)}
+ENCODED = pa.schema([("side", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("blob", pa.binary())])
 
 
 def summed_counts(words: DataFrame, kept: int) -> DataFrame:
@@ -131,7 +192,55 @@ def summed_counts(words: DataFrame, kept: int) -> DataFrame:
             chunk = group.column("chunk").to_pylist() + [None] * (1 + len(top))
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(chunk, pa.int64()), pa.array([*blobs, told, *[None] * len(top)], pa.binary()), pa.array([None] * (len(blobs) + 1) + types[top].view(np.int64).tolist(), pa.int64()), pa.array([None] * (len(blobs) + 1) + total[top].tolist(), pa.int64())], ["kind", "chunk", "blob", "token", "n"])
 
-    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "kind int, chunk long, blob binary, token long, n long")
+    return words.select("bucket", "chunk", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "kind int, chunk long, blob binary, token long, n long")
+
+
+def one(x: np.ndarray | pa.Array) -> pa.Array:
+    """A list column of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x))
+
+
+def of_types(blobs: list[bytes], v: Vocabulary) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For the types of a chunk in the order of their hashes, as its places have them: rank; whether known, base score and tail log10 probability."""
+    h = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16) for x in blobs])
+    c = np.concatenate([np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2) for x in blobs])
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    rank = v.ranks(h)
+    return rank.astype(v.dtype), [(c > 0).astype(np.int64), v.base_log10(c), np.where(rank == len(v.hashes), v.tail_log10(c), 0.0)]
+
+
+RANKED = "chunk long, side int, docs array<long>, counts array<long>, known array<long>, base array<double>, tail array<double>, ranks binary"
+
+
+def ranked(table: DataFrame, counted: DataFrame, v: Vocabulary, chunks: int) -> DataFrame:
+    """RANKED, the rows of each chunk in its order: per document its tokens, known tokens, base score and the log10 probabilities of its tail tokens within the tail; and the rank of every token (v.dtype)."""
+    sent = table.sparkSession.sparkContext.broadcast(v)
+    none = F.lit(None)
+    replies = counted.where("kind = 0").select(F.lit(0).alias("side"), "chunk", none.cast("array<long>").alias("docs"), none.cast("array<long>").alias("counts"), "blob")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = sent.value
+        now, blobs, known = None, [], None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                chunk, side, blob = (batch.column(c)[k] for c in ("chunk", "side", "blob"))
+                chunk, blob = chunk.as_py(), blob.as_buffer()
+                if side.as_py() == 0:
+                    if chunk != now:
+                        now, blobs, known = chunk, [], None
+                    blobs.append(bytes(blob))
+                    continue
+                if known is None:
+                    known, blobs = of_types(blobs, v), []
+                rank, values = known
+                counts = batch.column("counts").slice(k, 1).flatten()
+                places, first = np.frombuffer(blob, np.uint32), starts_of(counts.to_numpy())[:-1]
+                sums = [one(np.add.reduceat(x[places], first)) for x in values]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([side.as_py()], pa.int32()), one(batch.column("docs").slice(k, 1).flatten()), one(counts), *sums, pa.array([rank[places].tobytes()], pa.binary())], ["chunk", "side", "docs", "counts", "known", "base", "tail", "ranks"])
+
+    rows = replies.union(table.where("side > 0").select("side", "chunk", "docs", "counts", "blob"))
+    return rows.repartition(chunks, "chunk").sortWithinPartitions("chunk", "side").mapInArrow(run, RANKED)
 
 
 class Vocabulary:
@@ -146,7 +255,9 @@ class Vocabulary:
         self.tail = total - self.counts.sum()
         self.tail_types = types - len(tokens)
         self.unseen = min(0.9, max(0.01, (singles - (self.counts == 1).sum()) / self.tail)) if self.tail else 1.0
-        self.classes = -(-max(1, len(tokens)) // CLASS_SIZE)  # the tail class comes after these
+        self.dtype = np.uint16 if len(tokens) < 1 << 16 else np.uint32  # of ranks
+        self.class_size = 1 << round(math.log2(max(1024, len(tokens))) / 2)
+        self.classes = -(-max(1, len(tokens)) // self.class_size)  # the tail class comes after these
         self.end = self.ranks(np.asarray([END]))[0]
 
     def ranks(self, h: np.ndarray) -> np.ndarray:
@@ -182,11 +293,11 @@ class Network:
         """Small random weights; the biases give the unigram distribution."""
         rng = np.random.default_rng(seed)
         n, c = len(v.hashes), v.classes
-        bw = np.full((c, CLASS_SIZE), -20.0)
+        bw = np.full((c, v.class_size), -20.0)
         bw.ravel()[:n] = np.log(v.counts + 0.5)
         mass = np.append(np.where(bw > -20, np.exp(bw), 0).sum(axis=1), v.tail + 0.5)
         f = lambda *s, scale=0.3: rng.normal(0, scale, s).astype(np.float32)
-        return cls({"table": f(n + 1, 3 * hidden), "gates": f(hidden, 3 * hidden), "wc": f(hidden, c + 1, scale=0.05), "bc": np.log(mass / mass.sum()).astype(np.float32), "ww": f(c, hidden, CLASS_SIZE, scale=0.05), "bw": bw.astype(np.float32)})
+        return cls({"table": f(n + 1, 3 * hidden), "gates": f(hidden, 3 * hidden), "wc": f(hidden, c + 1, scale=0.05), "bc": np.log(np.maximum(mass, 1e-9) / max(mass.sum(), 1e-9)).astype(np.float32), "ww": f(c, hidden, v.class_size, scale=0.05), "bw": bw.astype(np.float32)})
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -210,8 +321,8 @@ class Network:
     def outputs(self, h: np.ndarray, rank: np.ndarray, back: bool = False):
         """log probability of each target (natural log, the tail as one token), and with back the gradients of the mean loss."""
         p = self.p
-        tail = p["bc"].shape[0] - 1
-        cls = np.minimum(rank // CLASS_SIZE, tail)
+        tail, size = p["bc"].shape[0] - 1, p["ww"].shape[2]
+        cls = np.minimum(rank // size, tail)
         cls[rank == p["table"].shape[0] - 1] = tail
         a = h @ p["wc"] + p["bc"]
         a -= a.max(axis=1, keepdims=True)
@@ -233,7 +344,7 @@ class Network:
             rows = order[cuts[k] : cuts[k + 1]]
             if not len(rows):
                 continue
-            own, at = h[rows], rank[rows] - k * CLASS_SIZE
+            own, at = h[rows], rank[rows] - k * size
             b = own @ p["ww"][k] + p["bw"][k]
             b -= b.max(axis=1, keepdims=True)
             f = np.exp(b)
@@ -355,128 +466,138 @@ def windows(ranks: np.ndarray, counts: np.ndarray, end: int, width: int, steps:
 # ---- training and scoring
 
 
-def trained(docs: DataFrame, v: Vocabulary, rounds: tuple[float, ...] = ROUNDS, rate: float = RATE, hidden: int = HIDDEN) -> Network:
-    """The network after all rounds. Only averages over groups of tasks come to the driver."""
-    spark = docs.sparkSession
+def trained(table: DataFrame, v: Vocabulary, rounds: tuple[float, ...] = ROUNDS, rate: float = RATE, hidden: int = HIDDEN) -> Network:
+    """The network after all rounds. In a round each chunk of the RANKED table trains a copy on its share of documents, and the copies are averaged.
+
+    Chunks don't depend on how Spark deals the rows, and sums are in double precision, so neither do the scores. A task
+    sends one sum for all its chunks; sums are added in groups, and only the groups' come to the driver.
+    """
+    spark = table.sparkSession
     model = Network.initial(v, hidden)
-    share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("round")), F.lit(10_000))
-    learns = docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("None"))) % FOLDS != HELD_OUT)
     low = 0.0
     for part in rounds:
         sent = spark.sparkContext.broadcast((model.dump(), v))
+        span = (int(round(low * 10_000)), int(round((low + part) * 10_000)))
+        low += part
+
+        def chosen(batches: Iterator[pa.RecordBatch], dtype: type, span=span) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            """chunk, token counts and ranks of the documents of this round, row by row."""
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    docs, counts = (batch.column(c)[k].as_py() for c in ("docs", "counts"))
+                    share = mix64(np.asarray([0 if d is None else d for d in docs], np.int64).view(np.uint64)) % np.uint64(10_000)
+                    own = (share >= span[0]) & (share < span[1]) & np.asarray([fold(d) != HELD_OUT for d in docs])
+                    counts = np.asarray(counts)
+                    yield batch.column("chunk")[k].as_py(), counts[own], np.frombuffer(batch.column("ranks")[k].as_buffer(), dtype)[np.repeat(own, counts)].astype(np.int32)
 
         def train(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             raw, v = sent.value
-            own, known, seen = Network.load(raw), WordHashes(250_000), 0
-            adam = Adam(own.p, rate)
-            for batch in slices(batches):
-                h, counts = token_hashes(byte_texts(batch.column("text")), known)
-                state = None
-                for inputs, targets, fresh, real, _ in windows(v.ranks(h), counts, v.end, STREAMS, WINDOW, even=True):
-                    state = np.zeros((STREAMS, hidden), np.float32) if state is None else state
-                    grads, state, _ = own.gradients(inputs, targets, fresh, real, state)
+            total, n = None, 0
+            for _, rows in groupby(chosen(batches, v.dtype), key=lambda r: r[0]):
+                _, counts, ranks = zip(*rows, strict=True)
+                counts, ranks = np.concatenate(counts), np.concatenate(ranks)
+                if not len(ranks):
+                    continue
+                copy = Network.load(raw)
+                adam, state = Adam(copy.p, rate), np.zeros((STREAMS, hidden), np.float32)
+                for inputs, targets, fresh, real, _ in windows(ranks, counts, v.end, STREAMS, WINDOW, even=True):
+                    grads, state, _ = copy.gradients(inputs, targets, fresh, real, state)
                     adam.update(grads)
-                    seen += int(real.sum())
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([own.dump()], pa.binary()), pa.array([seen])], ["model", "n"])
+                n += len(ranks)
+                total = {k: len(ranks) * a.astype(np.float64) + (0 if total is None else total[k]) for k, a in copy.p.items()}
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([Network(total).dump()], pa.binary()), pa.array([n])], ["model", "n"])
 
-        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = None, 0
             for batch in batches:
                 for raw, m in zip(batch.column("model").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                    p = Network.load(raw).p
-                    total = {k: m * a.astype(np.float64) + (0 if total is None else total[k]) for k, a in p.items()}
+                    total = {k: a + (0 if total is None else total[k]) for k, a in Network.load(raw).p.items()}
                     n += m
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([Network({k: (a / n).astype(np.float32) for k, a in total.items()}).dump()], pa.binary()), pa.array([n])], ["model", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([Network(total).dump()], pa.binary()), pa.array([n])], ["model", "n"])
 
-        chosen = learns.where((share >= int(low * 10_000)) & (share < int(round((low + part) * 10_000))))
-        low += part
-        models = write_table(chosen.mapInArrow(train, "model binary, n long"), "models")
-        groups = models.repartition(8).mapInArrow(average, "model binary, n long").collect()
+        sums = write_table(table.select("chunk", "docs", "counts", "ranks").mapInArrow(train, "model binary, n long"), "models")
+        groups = sums.repartition(math.isqrt(sums.count()) + 1).mapInArrow(add, "model binary, n long").collect()  # about the root of the number of tasks
+        drop_tables(sums)
         if groups:
-            n = sum(r.n for r in groups)
-            loaded = [(Network.load(bytes(r.model)).p, r.n / n) for r in groups]
-            model = Network({k: sum(p[k] * np.float32(w) for p, w in loaded).astype(np.float32) for k in Network.NAMES})
+            n, total = sum(r.n for r in groups), None
+            for r in groups:
+                total = {k: a + (0 if total is None else total[k]) for k, a in Network.load(bytes(r.model)).p.items()}
+            model = Network({k: (a / n).astype(np.float32) for k, a in total.items()})
     return model
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(docs: DataFrame, kept: int = KEPT, rounds: tuple[float, ...] = ROUNDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def kept_tokens(size: int) -> int:
+    """Tokens with an output of their own for a corpus of so many bytes: more for a larger one, with the fourth root."""
+    return max(LEAST_KEPT, -(-round(ROOT_KEPT * size**0.25) // 64) * 64)
+
+
+def scores(docs: DataFrame, kept: int | None = None, rounds: tuple[float, ...] = ROUNDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """SCORES of each document."""
     docs = id_and_text(docs)
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(8, -(-total // chunk_bytes))
-    placed = chunked(docs, chunks)
-    counted = write_table(summed_counts(chunk_words(placed, chunks), kept), "counts")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    kept = kept or kept_tokens(size)
+    chunks = max(8, -(-size // chunk_bytes))
+    buckets = max(8, chunks // 8)
+    table = write_table(encoded(docs, chunks, buckets), "tokens", **BLOBS)
+    counted = write_table(summed_counts(table.where("side = 0"), kept), "counts")
     totals = np.zeros(3, np.int64)
     for r in counted.where("kind = 1").select("blob").toLocalIterator():
         totals += np.frombuffer(bytes(r.blob), np.int64)
     top = counted.where("kind = 2").orderBy(F.desc("n"), "token").limit(kept).collect()
     v = Vocabulary([(r.token, r.n) for r in top], *map(int, totals))
-    model = trained(docs, v, rounds)
-    sent = spark.sparkContext.broadcast((model.dump(), v))
-    none = F.lit(None)
-    replies = counted.where("kind = 0").select("chunk", F.lit(0).alias("side"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "blob")
-    rows = replies.union(placed.select("chunk", F.lit(1), "doc_id", "text", none.cast("binary")))
+    rows = write_table(ranked(table, counted, v, chunks), "ranks", **BLOBS)
+    drop_tables(table, counted)
+    model = trained(rows, v, rounds)
+    sent = docs.sparkSession.sparkContext.broadcast((model.dump(), v))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, v = sent.value
-        own, known = Network.load(raw), WordHashes(250_000)
-        now, blobs, table = None, [], None
+        own = Network.load(raw)
         waiting: list[tuple] = []
-        for whole in batches:
-            key = whole.column("chunk").to_numpy() * 2 + whole.column("side").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)] if len(key) else []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                part = whole.slice(a, b - a)
-                if key[a] % 2 == 0:
-                    if key[a] != now:
-                        now, blobs = key[a], []
-                    blobs += part.column("blob").to_pylist()
-                    table = None
-                    continue
-                if table is None:
-                    h = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16) for x in blobs])
-                    c = np.concatenate([np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2) for x in blobs])
-                    order = np.argsort(h)
-                    table, blobs = (h[order], c[order]), []
-                for batch in slices(iter([part])):
-                    waiting.append(measured(batch, v, known, *table))
-                    if sum(len(w[2]) for w in waiting) >= SCORE_TOKENS:
-                        yield scored(waiting, own, v)
-                        waiting = []
+        size = 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                docs, counts, known, base, tail = (batch.column(c)[k].values for c in ("docs", "counts", "known", "base", "tail"))
+                waiting.append((docs.to_pylist(), *(x.to_numpy() for x in (counts, known, base, tail)), np.frombuffer(batch.column("ranks")[k].as_buffer(), v.dtype)))
+                size += len(waiting[-1][-1])
+                if size >= SCORE_TOKENS:
+                    yield scored(waiting, own, v)
+                    waiting, size = [], 0
         if waiting:
             yield scored(waiting, own, v)
 
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "side").mapInArrow(score, SCORES)
+    return rows.mapInArrow(score, SCORES)
 
 
-def measured(batch: pa.RecordBatch, v: Vocabulary, known: WordHashes, hashes: np.ndarray, counts_of: np.ndarray) -> tuple:
-    """doc ids, tokens of each text, rank and tail log10 probability of each token, known tokens and base score of each text."""
-    h, counts = token_hashes(byte_texts(batch.column("text")), known)
-    types, which = np.unique(h, return_inverse=True)
-    c = counts_of[np.searchsorted(hashes, types)]
-    rank = v.ranks(types).astype(np.int32)
-    tail = np.where(rank == len(v.hashes), v.tail_log10(c), 0.0).astype(np.float32)
-    first = starts_of(counts)[:-1]
-    return batch.column("doc_id").to_pylist(), counts, rank[which], tail[which], np.add.reduceat((c > 0).astype(np.int64)[which], first), np.add.reduceat(v.base_log10(c)[which], first)
+def length_groups(counts: np.ndarray) -> Iterator[np.ndarray]:
+    """Texts of similar length together (within a factor of four), so that a grid of streams has few empty places."""
+    level = (np.log2(np.maximum(counts, 1)) // 2).astype(np.int64)
+    for k in np.unique(level).tolist():
+        yield np.flatnonzero(level == k)
 
 
 def scored(waiting: list[tuple], model: Network, v: Vocabulary) -> pa.RecordBatch:
     ids = [d for w in waiting for d in w[0]]
-    counts, ranks, log, known, base = (np.concatenate([w[k] for w in waiting]) for k in range(1, 6))
-    state = None
-    for inputs, targets, fresh, real, at in windows(ranks, counts, v.end, STREAMS, 32):
-        if state is None:
-            state = np.zeros((inputs.shape[1], model.p["gates"].shape[0]), np.float32)
-        some = real.any(axis=0)
-        states, state[some], _ = model.run(inputs[:, some], fresh[:, some], state[some], keep=False)
-        real = real[:, some]
-        log[at[:, some][real]] += model.outputs(states[real], targets[:, some][real]) / np.float32(math.log(10))
-    score = np.add.reduceat(log.astype(np.float64), starts_of(counts)[:-1])
+    counts, known, base, score, ranks = (np.concatenate([w[k] for w in waiting]) for k in range(1, 6))
+    score, ranks = score.copy(), ranks.astype(np.int32)
+    starts = starts_of(counts)
+    for group in length_groups(counts):
+        own = counts[group]
+        at = np.repeat(starts[group] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+        log = np.zeros(len(at), np.float32)
+        state, steps = None, max(32, SCORE_CELLS // min(STREAMS, len(group)))
+        for inputs, targets, fresh, real, places in windows(ranks[at], own, v.end, STREAMS, steps):
+            if state is None:
+                state = np.zeros((inputs.shape[1], model.p["gates"].shape[0]), np.float32)
+            some = real.any(axis=0)
+            states, state[some], _ = model.run(inputs[:, some], fresh[:, some], state[some], keep=False)
+            real = real[:, some]
+            log[places[:, some][real]] = model.outputs(states[real], targets[:, some][real]) / np.float32(math.log(10))
+        score[group] += np.add.reduceat(log.astype(np.float64), np.cumsum(own) - own)
     columns = [pa.array(ids, pa.int64()), pa.array([fold(d) == HELD_OUT for d in ids]), pa.array(counts), pa.array(known), pa.array(np.full(len(counts), v.total)), pa.array(base), pa.array(score)]
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

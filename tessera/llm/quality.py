@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, byte_texts, id_and_text, mix64, slices, split_words, starts_of
+from .shared import WordHashes, byte_texts, id_and_text, mix64, slices, small_batches, split_words, starts_of
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
@@ -141,6 +141,7 @@ def quality_features(docs: DataFrame, labels: DataFrame, threshold: float = THRE
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
+    small_batches(docs.sparkSession)
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, labels, buckets, target_rows))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, size string, rank int, n long, key string, kind int, row int, bits int, removed int, spans int, n_removed int"
+SCHEMA = "doc_id long, text string, size string, rank int, n long, key string, kind int, row int, bits int, removed int, spans int, _id int, _row int, _bits int, _may int, _lines int, _removed int, _spans int, may int, rid int, own int, bucket int, n_removed int"
 
 
 def words(rng, n, vocabulary=400):
@@ -27,4 +27,4 @@ def texts(seed=1, n=60):
 
 def frame(spark, values, first=0):
     """Documents of these texts, with columns whose names operators use for their own."""
-    return spark.createDataFrame([(first + i, t, "clash", 1, 2, "k", 3, 4, 5, 6, 7, 8) for i, t in enumerate(values)], SCHEMA)
+    return spark.createDataFrame([(first + i, t, "clash", 1, 2, "k", 3, 4, 5, 6, 7, 8, *range(11)) for i, t in enumerate(values)], SCHEMA)

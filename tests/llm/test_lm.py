@@ -119,3 +119,73 @@ def test_no_rows_and_no_training_rows(spark):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     got = lm.scores(frame(spark, ["some words"], only)).collect()[0]
     assert got.held_out and got.train_tokens == 0 and got.n_known == 0 and math.isfinite(got.score)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = frame(spark, corpus(random.Random(5))[:200] + texts(n=12))
+    one, eight = ({r.doc_id: r for r in lm.scores(docs.repartition(n), chunk_bytes=20_000).collect()} for n in (1, 8))
+    for i, r in one.items():
+        assert r.score == pytest.approx(eight[i].score, rel=1e-6) and r.base_score == pytest.approx(eight[i].base_score)
+
+
+def plain_score(model, v, words, counts):
+    """log10 probability of one text, word by word."""
+    p = {k: a.astype(np.float64) for k, a in model.p.items()}
+    size, tail = p["ww"].shape[2], len(v.hashes)
+    h, last, total = np.zeros(len(p["gates"])), v.end, 0.0
+    for w, c in zip(words, counts, strict=True):
+        n, g, u = len(h), p["table"][last], h @ p["gates"]
+        z, r = (1 / (1 + np.exp(-(g[k * n : k * n + n] + u[k * n : k * n + n]))) for k in (0, 1))
+        h = (1 - z) * np.tanh(g[2 * n :] + r * u[2 * n :]) + z * h
+        a = h @ p["wc"] + p["bc"]
+        a -= math.log(np.exp(a).sum())
+        last = int(v.ranks(np.asarray([w]))[0])
+        if last == tail:
+            total += a[-1] / math.log(10) + v.tail_log10(np.asarray([c]))[0]
+        else:
+            b = h @ p["ww"][last // size] + p["bw"][last // size]
+            total += (a[last // size] + b[last % size] - math.log(np.exp(b).sum())) / math.log(10)
+    return total
+
+
+def test_score_as_plain_sum_at_every_length():
+    every = [t.encode() for t in corpus(random.Random(4))[:60]] + [b"", b"a1", b"a1 b2 " * 3000, b"never met " * 40]
+    h, counts = lm.token_hashes(every, lm.WordHashes())
+    types, which, n = np.unique(h, return_inverse=True, return_counts=True)
+    seen = np.where(n > 3, n, 0)
+    v = lm.Vocabulary([(int(t.view(np.int64)), int(c)) for t, c in sorted(zip(types, seen, strict=True), key=lambda x: -x[1])[:40]], int(seen.sum()), int((seen > 0).sum()), 2)
+    m = lm.Network.initial(v, seed=3)
+    c = seen[which]
+    rank = v.ranks(h).astype(np.int32)
+    first = np.cumsum(counts) - counts
+    tail = np.add.reduceat(np.where(rank == len(v.hashes), v.tail_log10(c), 0.0), first)
+    out = lm.scored([(list(range(len(every))), counts, counts, tail, tail, rank)], m, v).column("score").to_pylist()
+    for i, (a, k) in enumerate(zip(first.tolist(), counts.tolist(), strict=True)):
+        assert out[i] == pytest.approx(plain_score(m, v, h[a : a + k], c[a : a + k]), rel=1e-4), i
+
+
+def test_a_text_of_a_million_words(spark):
+    long = "one two three four five six seven eight nine ten " * 100_000
+    got = {r.doc_id: r for r in lm.scores(frame(spark, [long, "one two", None]), chunk_bytes=1 << 20).collect()}
+    assert got[0].n_tokens == 1_000_001 and math.isfinite(got[0].score) and got[2].n_tokens == 1
+
+
+def test_pieces_of_a_long_text_are_its_tokens():
+    import pyarrow as pa
+
+    every, known = [b"some words here " * 50, b"", b"x" * 90, b"a b  c\n" * 30], lm.WordHashes()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, None, 4]), pa.array([t.decode() for t in every])], ["doc_id", "text"])
+    whole, cut = lm.Chunk(), lm.Chunk()
+    whole.add(batch, known)
+    keep, lm.long_pieces.__defaults__ = lm.long_pieces.__defaults__, (64,)
+    try:
+        cut.add(batch, known)
+    finally:
+        lm.long_pieces.__defaults__ = keep
+    for a, b in zip(whole.done(), cut.done(), strict=True):
+        assert a.tolist() == b.tolist()
+    assert whole.docs == cut.docs == [1, 2, None, 4]
+
+
+def test_kept_tokens_grow():
+    assert [lm.kept_tokens(n) for n in (0, 10**8, 10**9, 10**12)] == sorted({lm.kept_tokens(n) for n in (0, 10**8, 10**9, 10**12)})
