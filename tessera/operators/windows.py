@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import running
+from .prefix import running, stretch_of
 from .stats import aggregates
 
 
@@ -29,6 +29,22 @@ def bounded(index: Column, n: int, mode: str) -> Column:
     raise ValueError(f"unknown bounds {mode}")
 
 
+def _real() -> Column:
+    return F.when(~F.isnan(F.col("v").cast("double")), F.col("v"))
+
+
+#: Statistics that can be framed; the others gather their windows.
+FRAMED = {
+    "sum": lambda w: F.sum(F.col("v").cast("double")).over(w),
+    "mean": lambda w: F.avg(F.col("v").cast("double")).over(w),
+    "count_valid": lambda w: F.nullif(F.count("v").over(w), F.lit(0)),
+    "variancep": lambda w: F.var_pop(F.col("v").cast("double")).over(w),
+    "stddevp": lambda w: F.stddev_pop(F.col("v").cast("double")).over(w),
+    "min": lambda w: F.coalesce(F.min(_real()).over(w), F.min("v").over(w)),
+    "max": lambda w: F.coalesce(F.max(_real()).over(w), F.max("v").over(w)),
+}
+
+
 class Windows:
     """Methods of NDArray."""
 
@@ -129,11 +145,28 @@ class Windows:
         return found.select("center", "place", F.when(F.col("s").isNull(), outside).otherwise(F.col("v")).alias("v"))
 
     def windows(self, name: str, *ranges: tuple[int, int], bounds: str = "fill", fill_value=0):
-        """A statistic of the window around each cell."""
+        """A statistic of the window around each cell. Of a vector it is a frame over stretches that overlap by the window."""
+        if self.ndim == 1 and name in FRAMED:
+            return self._framed(FRAMED[name], *ranges[0], bounds, fill_value)
         moved = self.moving(*ranges, bounds=bounds, fill_value=fill_value).withColumnRenamed("place", "addr")
         out = moved.groupBy("center").agg(aggregates(self.kind)[name].alias("v"))
         return self.like(out.select(F.col("center").alias("addr"), "v"), kind="float64")
 
+    def _framed(self, framed, first: int, last: int, bounds: str, fill_value):
+        """A statistic over the cells from first to last around each cell of a vector. Cells beyond the ends are few and made for themselves."""
+        n, kind = self.elements, self.df.schema["v"].dataType
+        low, high = min(first, 0), max(last, 0)
+        stretch = max(stretch_of(n), 8 * (high - low))
+        beyond = self.spark.range(high - low).select(F.when(F.col("id") < -low, F.col("id") + low).otherwise(F.col("id") + low + n).alias("addr"))
+        beyond = beyond.withColumn("s", bounded(F.col("addr"), n, bounds)).join(self.df.select(F.col("addr").alias("s"), "v"), "s", "left")
+        outside = F.when(F.col("s").isNull(), F.lit(None if bounds == "mask" else fill_value).cast(kind)).otherwise(F.col("v"))
+        cells = self.df.select("addr", "v").union(beyond.select("addr", outside))
+        block = lambda c: F.floor(c / stretch).cast("bigint")
+        sent = cells.withColumn("b", F.explode(F.sequence(block(F.col("addr") - high), block(F.col("addr") - low))))
+        frame = Window.partitionBy("b").orderBy("addr").rowsBetween(first, last)
+        own = sent.select("addr", "b", framed(frame).alias("v")).where((F.col("b") == block(F.col("addr"))) & F.col("addr").between(0, n - 1))
+        return self.like(own.select("addr", "v"), kind="float64")
+
     def convolve(self, weights: list[float], first: int, bounds: str = "fill", fill_value=0):
         """Weighted sums of moving windows of a vector that begin `first` cells from the centre."""
         moved = self.moving((first, first + len(weights) - 1), bounds=bounds, fill_value=fill_value)

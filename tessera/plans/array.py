@@ -13,17 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.types import SPARK, canonical
+from ..operators.access import Access
 from ..operators.compose import Compose
 from ..operators.elements import Elements
 from ..operators.groups import Groups
 from ..operators.index import Index
 from ..operators.lookup import Lookup
 from ..operators.order import Order
+from ..operators.sets import Sets
 from ..operators.stats import Stats
+from ..operators.table import Tables
 from ..operators.windows import Windows
 
 
-class NDArray(Index, Elements, Stats, Groups, Windows, Order, Lookup, Compose):
+class NDArray(Access, Index, Elements, Stats, Groups, Windows, Order, Sets, Lookup, Compose, Tables):
     """df: addr, v (, raw). shape: lengths of the axes; only the first may be None, and is then counted when needed."""
 
     def __init__(self, df: DataFrame, shape: tuple[int | None, ...], kind: str = "float64", attributes: dict | None = None) -> None:
@@ -54,6 +57,14 @@ class NDArray(Index, Elements, Stats, Groups, Windows, Order, Lookup, Compose):
         rows = [(i, v) for i, v in enumerate(values)]
         return cls(spark.createDataFrame(rows, f"addr bigint, v {SPARK[kind]}"), shape, kind)
 
+    @classmethod
+    def from_values(cls, values: DataFrame, n: int, kind: str = "float64") -> NDArray:
+        """A vector of the values of a column v, in ascending order. n: how many, about."""
+        from ..operators.prefix import ranked
+
+        numbered = ranked(values.select("v", F.xxhash64("v").alias("addr")), [("v", False), ("addr", False)], n)
+        return cls(numbered.select(F.col("rank").cast("bigint").alias("addr"), "v"), (None,), kind)
+
     def like(self, df: DataFrame, shape: tuple[int | None, ...] | None = None, kind: str | None = None) -> NDArray:
         return NDArray(df, self._shape if shape is None else shape, kind or self.kind, self.attributes)
 

@@ -1,8 +1,9 @@
 """The binary array container: a 256-byte header, raw values, and an int8 mask.
 
-Reading takes files through Spark's binaryFile source and cuts them into cells in Arrow batches; writing makes one file
-for an array that fits on the driver, which the format implies. Object arrays and attributes are language-native pickles
-in the format and are not read.
+Reading takes files through Spark's binaryFile source and cuts them into cells in Arrow batches. A container is one file with
+the values and then the mask, so writing it streams the array through the driver in the order of addresses, one stretch
+at a time, into any store that Spark reaches; save_parts writes a container for each stretch in tasks instead. Object
+arrays and attributes are language-native pickles in the format and are not read.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from math import prod
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.types import SPARK
 
@@ -26,9 +28,7 @@ DEFAULT_MAGIC = b"_TESSER_"
 
 def dump(values: np.ndarray, kind: str, mask: np.ndarray | None = None, magic: bytes = DEFAULT_MAGIC, order: str = "<") -> bytes:
     """A container of the values. magic: eight bytes that begin and end with an underscore."""
-    dims = [*values.shape, *[0] * (16 - values.ndim)]
-    head = struct.pack(order + HEADER, magic, kind.ljust(8).encode(), b"_LE_" if order == "<" else b"_BE_", NUMBER[kind], WIDTH[kind], values.ndim, values.size, int(mask is not None), *dims, 0, 0)
-    out = head.ljust(HEADER_BYTES, b"\0") + values.astype(order + NUMPY[kind]).tobytes()
+    out = header(kind, values.shape, mask is not None, magic, order) + values.astype(order + NUMPY[kind]).tobytes()
     return out + (mask.astype(np.int8).tobytes() if mask is not None else b"")
 
 
@@ -65,18 +65,91 @@ def read(spark: SparkSession, path: str, kind: str = "float64") -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cells, f"path string, addr bigint, v {SPARK[kind]}")
 
 
+def stretches(a, cells: int = 1 << 20):
+    """Values (masked ones are 0) and masks of an array in the order of addresses, a stretch at a time."""
+    listed = a.df.select("addr", "v").repartitionByRange(max(1, -(-a.elements // cells)), "addr").sortWithinPartitions("addr")
+    held: list[tuple] = []
+    for r in listed.toLocalIterator():  # a partition is on the driver at a time
+        held.append(r.v)
+        if len(held) == cells:
+            yield _arrays(held, a.kind)
+            held = []
+    if held:
+        yield _arrays(held, a.kind)
+
+
+def _arrays(cells: list, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.asarray([c is None for c in cells])
+    return np.asarray([0 if c is None else int(c) if NUMPY[kind][0] in "iu" else c for c in cells]).astype(NUMPY[kind]), mask
+
+
+def header(kind: str, shape: tuple[int, ...], masked: bool, magic: bytes = DEFAULT_MAGIC, order: str = "<") -> bytes:
+    dims = [*shape, *[0] * (16 - len(shape))]
+    return struct.pack(order + HEADER, magic, kind.ljust(8).encode(), b"_LE_" if order == "<" else b"_BE_", NUMBER[kind], WIDTH[kind], len(shape), prod(shape), int(masked), *dims, 0, 0).ljust(HEADER_BYTES, b"\0")
+
+
+def dump_array(a, magic: bytes = DEFAULT_MAGIC, order: str = "<") -> bytes:
+    """The container of a small array."""
+    values, mask = (np.concatenate(x) for x in zip(*stretches(a), strict=True))
+    return dump(values.reshape(a.shape), a.kind, mask.reshape(a.shape) if mask.any() else None, magic, order)
+
+
 def save(a, path: str, magic: bytes = DEFAULT_MAGIC, order: str = "<") -> None:
-    """Writes a small array as one container."""
-    pdf = a.to_pandas()
-    mask = pdf["v"].isna().to_numpy()
-    values = pdf["v"].where(~mask, 0).to_numpy().astype(NUMPY[a.kind]).reshape(a.shape)
-    with open(path, "wb") as f:
-        f.write(dump(values, a.kind, mask.reshape(a.shape) if mask.any() else None, magic, order))
+    """Writes an array as one container, through Spark's file systems. Masks are kept as bits on the way."""
+    spark = a.spark
+    masked = bool(a.df.where("v is null").limit(1).count())
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    try:
+        out.write(bytearray(header(a.kind, a.shape, masked, magic, order)))
+        masks = []
+        for values, mask in stretches(a):
+            out.write(bytearray(values.astype(order + NUMPY[a.kind]).tobytes()))
+            masks.append((np.packbits(mask), len(mask)))
+        for bits, n in masks if masked else []:
+            out.write(bytearray(np.unpackbits(bits, count=n).astype(np.int8).tobytes()))
+    finally:
+        out.close()
+
+
+def save_parts(a, path: str, cells: int = 1 << 22, magic: bytes = DEFAULT_MAGIC, order: str = "<") -> DataFrame:
+    """part, first, n, raw: a container (a vector) for each stretch of addresses, made in tasks and written as Parquet at the path."""
+    kind = a.kind
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("addr")
+        values, mask = _arrays([None if v is None or v != v and kind not in ("float32", "float64") else v for v in pdf["v"].tolist()], kind)
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "first": [pdf["addr"].iloc[0]], "n": [len(pdf)], "raw": [dump(values, kind, mask if mask.any() else None, magic, order)]})
+
+    cast = F.col("v").cast("string") if kind == "uint64" else F.col("v")
+    own = a.df.select("addr", cast.alias("v"), F.floor(F.col("addr") / cells).cast("bigint").alias("part"))
+    own.groupBy("part").applyInPandas(run, "part bigint, first bigint, n bigint, raw binary").write.parquet(path)
+    return a.spark.read.parquet(path)
+
+
+def load_parts(spark: SparkSession, path: str, shape: tuple[int, ...], kind: str = "float64"):
+    """The array that save_parts wrote."""
+    from ..plans.array import NDArray
+
+    def cells(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for first, raw in zip(pdf["first"], pdf["raw"], strict=True):
+                values, _, mask = load(bytes(raw))
+                v = pd.Series(values.ravel(), dtype="object")
+                if mask is not None:
+                    v[mask.ravel()] = None
+                yield pd.DataFrame({"addr": np.arange(first, first + values.size), "v": v})
+
+    return NDArray(spark.read.parquet(path).select("first", "raw").mapInPandas(cells, f"addr bigint, v {SPARK[kind]}"), shape, kind)
 
 
 def to_binary(a, order: str = "<") -> bytes:
-    """Raw element bytes in the order of addresses."""
-    return np.asarray(a.values()).astype(order + NUMPY[a.kind]).tobytes()
+    """Raw element bytes of a small array in the order of addresses; masked cells are 0."""
+    return b"".join(values.astype(order + NUMPY[a.kind]).tobytes() for values, _ in stretches(a))
 
 
 def from_binary(spark: SparkSession, raw: bytes, shape: tuple[int, ...], kind: str, order: str = "<"):

@@ -91,12 +91,28 @@ def test_running_values_over_many_stretches(spark):
         assert r.s == (sum(some) if some else None)
 
 
+def test_running_values_over_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "MOST_TOTALS", 3)
+    monkeypatch.setattr(prefix, "MOST_STRETCH", 4)
+    monkeypatch.setattr(prefix, "LEAST_STRETCH", 4)
+    rng = np.random.default_rng(5)
+    v = [None if rng.random() < 0.3 else int(x) for x in rng.integers(-9, 9, 150)]
+    df = spark.createDataFrame([(i, x, i // 30 % 2) for i, x in enumerate(v)], "addr bigint, v bigint, g int")
+    for by in ((), ("g",)):
+        got = prefix.running(df, 150, {"s": ("sum", F.col("v")), "c": ("count", F.col("v")), "m": ("max", F.col("v")), "l": ("last", F.col("v"))}, by).collect()
+        assert len(got) == 150
+        for r in got:
+            some = [x for j, x in enumerate(v[: r.addr + 1]) if x is not None and (not by or j // 30 % 2 == r.g)]
+            assert (r.s, r.c, r.m, r.l) == ((sum(some), len(some), max(some), some[-1]) if some else (None, 0, None, None))
+
+
 @pytest.mark.parametrize("down", [False, True])
-def test_ranks_over_many_stretches(spark, down):
+def test_ranks_over_many_stretches(spark, down, monkeypatch):
+    monkeypatch.setattr(prefix, "LEAST_RANGE", 40)
     rng = np.random.default_rng(2)
     v = [None if x == 0 else (5 if x < 30 else int(x)) for x in rng.integers(0, 90, 500)]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "addr bigint, v bigint").repartition(5)
-    got = {r.addr: r["rank"] for r in prefix.ranked(df, [("v", down), ("addr", down)], 500, per=40).collect()}
+    got = {r.addr: r["rank"] for r in prefix.ranked(df, [("v", down), ("addr", down)], 500).collect()}
     sign = -1 if down else 1
     want = sorted(range(500), key=lambda i: (v[i] is None, sign * (v[i] or 0), sign * i))
     assert [got[i] for i in want] == list(range(500))
@@ -133,7 +149,8 @@ def test_search_and_lookup(arr):
     assert arr([1.0, 3.0, 5.0]).fetch_linear_addr(arr([0.5, 2.0, 2.5])).values() == [2.0, 5.0, N]
 
 
-def test_asof_both_ways(spark):
+def test_asof_both_ways(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "LEAST_RANGE", 2000)
     rng = np.random.default_rng(3)
     left = [(i, int(t)) for i, t in enumerate(rng.integers(0, 500, 80))]
     right = [(100 + i, int(t)) for i, t in enumerate(rng.permutation(500)[:60])]
@@ -269,3 +286,103 @@ def test_random_arrays_as_numpy(arr):
                 assert ours.stat(name, axis).values() == pytest.approx(f(theirs, axis=axis).tolist())
         assert ours.median().scalar() == pytest.approx(float(np.ma.median(theirs)))
         assert ours.cumsum().values() == pytest.approx(theirs.filled(0).cumsum().tolist())
+
+
+def test_asof_by_key_and_strict(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(k), int(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 120), rng.integers(0, 60, 120), strict=True))]
+    df = spark.createDataFrame(rows, "addr bigint, k bigint, t bigint")
+    for least in (10, 100_000):
+        monkeypatch.setattr(prefix, "LEAST_RANGE", least)
+        for direction, sign in (("backward", 1), ("forward", -1)):
+            for strict in (False, True):
+                got = {r.addr: r.found for r in lookup.asof(df, df, "t", ("k",), direction, strict=strict).collect()}
+                for i, k, t in rows:
+                    near = [x for x in rows if x[1] == k and (sign * (t - x[2]) > 0 or not strict and t == x[2])]
+                    best = min(near, key=lambda x: (sign * -x[2], x[0]), default=(None,))[0]
+                    assert got[i] == best, (least, direction, strict, i)
+
+
+def test_lookups_by_series(arr):
+    scales = arr([[0.0, 1.0, 4.0], [0.0, 2.0, 8.0]])
+    assert scales.vectorized_section(arr([0.5, 3.0, 9.0])).values() == pytest.approx([0.5, 5 / 3, 11 / 3, 0.25, 1 + 1 / 6, 1 + 7 / 6])
+    assert scales.vectorized_section(arr([0.5, 3.0])).shape == (2, 2)
+    assert scales.vectorized_section_linear(arr([0.5, 6.0])).values() == pytest.approx([0.5, -1, 0.25, 1 + 2 / 3])
+    own = arr([[0.5, 5.0], [N, 5.0]])
+    assert scales.vectorized_find_linear_addr(own).values() == pytest.approx([0.5, 7 / 3, N, 1.5])
+    assert scales.vectorized_fetch_linear_addr(arr([[0.5, 2.0], [1.5, 2.5]])).values() == pytest.approx([0.5, 4.0, 5.0, N])
+    with pytest.raises(ValueError):
+        arr([0.0, 1.0]).vectorized_section(own)
+
+
+def test_sets_and_tables(arr):
+    a, b = arr([1, 2, 2, N, 5]), arr([2, 7, N])
+    values = lambda df: sorted(r.v for r in df.collect())
+    assert values(a.union(b)) == [1, 2, 5, 7] and values(a.intersect(b)) == [2] and values(a.except_(b)) == [1, 5]
+    assert sorted((r.v, r.n) for r in a.except_all(b).collect()) == [(1, 1), (2, 1), (5, 1)]
+    assert a.is_in(b).values() == [False, True, True, N, False]
+    t = arr([[1, 2], [3, N]]).as_table(["x", "y"])
+    assert t.column("y").values() == [2, N] and t.column("z") is None and t.row(-1) == {"x": 3, "y": N}
+    assert sorted(tuple(r) for r in t.frame().collect()) == [(0, 1, 2), (1, 3, N)]
+
+
+def test_access(arr):
+    a = arr([[1, 2, 3], [4, 5, N]])
+    assert a[1, -2].values() == [5] and a[:, 1].values() == [2, 5] and a[(1, 0), None].values() == [4, 5, N, 1, 2, 3] and a[F.col("v") > 2].values() == [3, 4, 5]
+    assert a.normalize_index(-1, slice(0, 2)) == [1, [0, 2, 1]] and a.scan_index(None, 1) == "block" and a.scan_index() == "all" and a.scan_index(4) == "address"
+    assert list(a.each()) == [1, 2, 3, 4, 5, N] and list(a.each_with_addr())[1] == (2, 1) and list(a.each_with_index())[4] == (5, (1, 1)) and len(list(a.each_index())) == 6
+    assert (10 - arr([1, 2, N])).values() == [9, 8, N] and (2 ** arr([1.0, 3.0])).values() == [2, 8] and (1 | arr([2, 4])).values() == [3, 5]
+    assert arr([258, -1], "int32").refer("uint8").values() == [2, 1, 0, 0, 255, 255, 255, 255]
+    assert arr([2, 1, N, 0], "uint8").refer("uint16").values() == [258, N]
+    with pytest.raises(ValueError):
+        arr([1, 2, 3], "uint8").refer("uint16")
+    assert dict(a.each_group((0,))) == {(0,): [1, 2, 3], (1,): [4, 5, N]}
+    assert a.kernel((0,), 1).values() == [4, 5, N] and a.replace_value(5, 9).values() == [1, 2, 3, 4, 9, N]
+    f = a.like(a.df, kind="fixlen")
+    f.data_class = "record"
+    assert f.has_data_class() and not a.has_data_class()
+    assert a.to_ca().values() == a.values()
+
+
+def test_histogram_grows(spark):
+    df = spark.createDataFrame([(0.0,), (5.0,), (10.0,), (25.0,), (-1.0,), (N,)], "x double")
+    h = groups.Histogram([[0, 10, 20]], offsets=[1]).increment(df, F.col("x")).add(df, F.col("x"), weight=F.lit(0.5))
+    assert sorted((r.b0, r.n) for r in h.cells(spark).collect()) == [(0, 1.5), (1, 3.0), (2, 1.5), (3, 1.5)]
+    assert sorted((r.b0, r.n) for r in h.merge(h).inner(spark).collect()) == [(0, 6.0), (1, 3.0)]
+    assert h.mid_points == [[5.0, 15.0]]
+    with pytest.raises(ValueError):
+        h.merge(groups.Histogram([[0, 1]]))
+
+
+def test_containers_through_the_shared_store(spark, arr, tmp_path):
+    a = arr([[1, 2, N], [4, 5, 6]], "int32")
+    container.save(a, f"file://{tmp_path}/one")
+    assert [r.v for r in container.read(spark, f"file://{tmp_path}/one", "int32").orderBy("addr").collect()] == [1, 2, N, 4, 5, 6]
+    container.save_parts(a, f"file://{tmp_path}/parts", cells=4)
+    assert container.load_parts(spark, f"file://{tmp_path}/parts", (2, 3), "int32").values() == [1, 2, N, 4, 5, 6]
+    values, kind, mask = container.load(a.marshal_dump())
+    assert kind == "int32" and values.tolist() == [[1, 2, 0], [4, 5, 6]] and mask.tolist() == [[False, False, True], [False] * 3]
+    assert container.to_binary(a) == bytes([1, 0, 0, 0, 2, 0, 0, 0, 0, 0, 0, 0, 4, 0, 0, 0, 5, 0, 0, 0, 6, 0, 0, 0])
+
+
+def test_windows_of_a_vector_as_those_of_a_grid(arr):
+    rng = np.random.default_rng(6)
+    v = [None if rng.random() < 0.2 else float(x) for x in rng.integers(0, 9, 40)]
+    for bounds in ("mask", "fill", "periodic", "nearest", "reflect"):
+        for name in ("sum", "mean", "min", "count_valid"):
+            one = arr(v).windows(name, (-2, 3), bounds=bounds).values()
+            two = arr([v]).windows(name, (0, 0), (-2, 3), bounds=bounds).values()
+            assert one == pytest.approx(two), (bounds, name)
+
+
+def test_stream_windows_drop_late_rows(spark, tmp_path):
+    from tessera.streaming import events as streams
+
+    schema = "ts timestamp, value double"
+    for k, rows in enumerate([[("2024-01-01 00:05:00", 1.0), ("2024-01-01 03:00:00", 2.0)], [("2024-01-01 03:05:00", 2.0)], [("2024-01-01 00:06:00", 9.0), ("2024-01-01 03:10:00", 3.0)]]):
+        spark.createDataFrame(rows, "ts string, value double").selectExpr("cast(ts as timestamp) ts", "value").coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{tmp_path}/in/*/")
+    run = streams.windowed(stream, "ts", "1 hour").writeStream.format("memory").queryName("late_rows").outputMode("update").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    got = {(r.start.hour, r.n) for r in spark.table("late_rows").collect()}
+    assert (0, 1) in got and (3, 3) in got and (0, 2) not in got
