@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import ranked
+from .prefix import ranked, running
 
 
 class Order:
@@ -91,8 +91,7 @@ class Order:
         return self.df.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("addr").alias("addr"))
 
     def duplicated_values(self) -> DataFrame:
-        """value, addr and n of each occurrence of a value after its first, n counting from 1."""
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("v").orderBy("addr")
-        return self.df.where(F.col("v").isNotNull()).select(F.col("v").alias("value"), "addr", (F.row_number().over(w) - 1).alias("n")).where("n > 0")
+        """value, addr and n of each occurrence of a value after its first, n counting from 1. A frequent value is counted over stretches."""
+        valid = self.df.where(F.col("v").isNotNull()).select("addr", F.col("v").alias("value"))
+        counted = running(valid, self.elements, {"n": ("count", F.col("addr"))}, ("value",))
+        return counted.select("value", "addr", (F.col("n") - 1).alias("n")).where("n > 0")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.types import SPARK, wrap
+from .prefix import ranges_of, ranked
 
 V = F.col
 
@@ -149,7 +150,9 @@ class Stats:
         return self.stat("median", **limits)
 
     def percentile(self, *percents: float, mask_limit: int = 0, fill_value=None):
-        """Exact, with linear interpolation, of the whole array; NaN outside 0..100. One value for each percent."""
+        """Exact, with linear interpolation, of the whole array; NaN outside 0..100. One value for each percent. Of a large array it takes the values at the ranks wanted."""
+        if ranges_of(self.elements) > 1:
+            return self._percentile_by_ranks(percents, mask_limit, fill_value)
         inside = [p for p in percents if 0 <= p <= 100]
         exact = F.percentile(F.col("v").cast("double"), F.array(*[F.lit(p / 100) for p in inside])) if inside else None
         items, k = [], 0
@@ -161,6 +164,22 @@ class Stats:
         v = F.when(F.col("m") >= mask_limit, F.lit(fill_value)).otherwise(F.col("v")) if mask_limit else F.col("v")
         return self.like(out.select(F.col("addr").cast("bigint").alias("addr"), v.alias("v")), (len(percents),), "float64")
 
+    def _percentile_by_ranks(self, percents: tuple[float, ...], mask_limit: int, fill_value):
+        """Only the values at two ranks for each percent meet, and no aggregate holds the distinct values."""
+        valid = self.df.where(F.col("v").isNotNull()).select("addr", F.col("v").cast("double").alias("v"))
+        n = valid.count()
+        wanted = []
+        for k, p in enumerate(percents):
+            place = (n - 1) * p / 100 if n and 0 <= p <= 100 else None
+            wanted.append((k, None if place is None else int(place), None if place is None else min(int(place) + 1, n - 1), place))
+        asked = F.broadcast(self.spark.createDataFrame(wanted, "addr bigint, lo bigint, hi bigint, place double"))  # a row for each percent
+        at = ranked(valid, [("v", False), ("addr", False)], n).where(F.col("rank").isin([x for r in wanted for x in r[1:3] if x is not None])).select("rank", "v")
+        both = asked.join(at.toDF("lo", "a"), "lo", "left").join(at.toDF("hi", "b"), "hi", "left")
+        value = F.when(F.col("place").isNull(), F.lit(S.NAN) if n else F.lit(None)).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.col("lo")))
+        if mask_limit and self.elements - n >= mask_limit:
+            value = F.lit(fill_value).cast("double")
+        return self.like(both.select("addr", value.alias("v")), (len(percents),), "float64")
+
     def quantile(self):
         return self.percentile(0, 25, 50, 75, 100)
 

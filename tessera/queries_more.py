@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import scalar as S
 from .operators import access, compose, groups
 from .plans.array import NDArray
-from .queries import _N, _REF, EVENTS, PART, grid, part, query, rounded_cells, suppliers, table, vector
+from .queries import _N, _REF, EVENTS, ORDERS, PART, grid, part, query, rounded_cells, suppliers, table, vector
 from .session import shared_path
 from .sources import container, files
 from .streaming import events as streams
@@ -220,4 +220,7 @@ forced("distributed_dimcumcount", lambda s, d: grid(s, d).dimcumcount(1).df, f"{
 forced("distributed_rank", lambda s, d: vector(s, d, "events").order().df, f"{EVENTS} select e.addr, r.n as v from e left join (select addr, row_number() over (order by v, addr) - 1 as n from e where v is not null) r on r.addr = e.addr")
 forced("distributed_moving_mean", lambda s, d: rounded_cells(vector(s, d, "events").windows("mean", (-2, 2), bounds="mask"), 4), f"{EVENTS} select addr, round(avg(v) over (order by addr rows between 2 preceding and 2 following), 4) as v from e")
 forced("distributed_moving_periodic", lambda s, d: rounded_cells(vector(s, d, "events").windows("sum", (-2, 0), bounds="periodic"), 4), f"{EVENTS}, n as (select count(*) as n from e), x as (select addr, v from e union all select addr - n, v from e, n where addr >= n - 2) select addr, round(s, 4) as v from (select addr, sum(v) over (order by addr rows between 2 preceding and current row) as s from x) where addr >= 0")
-
+forced("distributed_percentile", lambda s, d: rounded_cells(vector(s, d, "events").percentile(0, 10, 33.5, 50, 90, 100)), f"{EVENTS} select unnest([0::bigint, 1, 2, 3, 4, 5]) as addr, round(unnest(quantile_cont(v, [0, 0.1, 0.335, 0.5, 0.9, 1])), 6) as v from e")
+forced("distributed_section", lambda s, d: rounded_cells(vector(s, d, "events").with_value(F.col("addr") / 4).section(vector(s, d, "events")), 6), f"{EVENTS} select addr, round(v * 4, 6) as v from e")
+forced("distributed_duplicates", lambda s, d: counts(s, d).duplicated_values(), f"{PART} select km as value, addr, n from (select km, addr, row_number() over (partition by km order by addr) - 1 as n from a where km is not null) where n > 0")
+forced("distributed_sort", lambda s, d: vector(s, d).sort().df, f"{ORDERS}, r as (select v, row_number() over (order by v, addr) as n from o where v is not null), p as (select addr, row_number() over (order by addr) as n from o where v is not null) select o.addr, r.v from o left join p on p.addr = o.addr left join r on r.n = p.n")
