@@ -6,19 +6,22 @@ candidate (-1, 0 or 1): form, check digits and ranges, a gazetteer of known endi
 the span, and what touches it. Expectation-maximisation over the counts of vote patterns (some thousands at most, at
 any size of the corpus) estimates how reliable each labeler is, without labels; the posteriors train a logistic span
 classifier over votes, kind and length. Base spans always stay; a wider candidate is added if the classifier gives it
-at least ACCEPT, a labeler has seen a cue in the words before it, and it overlaps no base span.
+at least ACCEPT and it overlaps no base span.
 
 Matches are found with split and regexp_extract_all: their places follow from the lengths of the pieces between them.
+Mail addresses are found from their @: what may stand before it and after it are single runs of characters, which no
+length of text can bring the matcher to its limits with.
 
-Defined cases: null and empty texts have no spans; repeated rows get equal results; ties between kinds go in the order
-of KINDS; an empty table gives no rows. Other columns are ignored.
+Defined cases: null and empty texts have no spans; repeated rows get equal results, and rows of one doc_id with different
+texts, or without doc_id, each their own; ties between kinds go in the order of KINDS; very long texts are searched whole;
+an empty table gives no rows. Other columns are ignored by personal_data and passed on by redact, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import drop_tables, id_and_text, write_table
@@ -31,46 +34,106 @@ CONTEXT = 40
 # of a run of digits or address characters only its start, or the end of the match before, can begin a match. Card and
 # phone patterns count digits in the pattern; their runs are maximal, so those that fail are left out as a whole.
 BASE = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]++(?:\.[0-9]+){3}",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9](?:[\x20().-]*[0-9]){8,14}(?![\x20().-]*[0-9])",
 }
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\[dot\]|\(dot\)|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63}+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\[dot\]|\(dot\)|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63}+){1,126}",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "phone": r"(?<![0-9A-Za-z.+(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
 }
+#: Before and after the @ of a mail address: the last run of the one, the first run of the other.
+LOCAL, DOMAIN = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\z", r"\A[A-Za-z0-9-][A-Za-z0-9.-]*+"
 #: A text without these characters has no match.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+NEEDS = {"ip": ".", "card": None, "phone": "+"}
+#: Matches that are put in a row together.
+BLOCK = 512
 #: Every obfuscated mail address has one of these.
 DOT = r"\[dot\]|\(dot\)|\x20dot\x20"
 
 # Fixed word lists of the gazetteer and context labelers.
-ENDINGS = ["com", "org", "net", "edu", "gov", "io", "info", "biz", "de", "fr", "es", "uk", "us", "eu", "ch", "at", "it", "nl"]
-CARD_PREFIX = r"^(4|5[1-5]|2[2-7]|3[47]|6011|65|35|36|30)"
-PHONE_PREFIX = r"^\+?(1|33|34|44|49|41|43|39|31)"
+#: Generic endings of host names; any two letters are a country's.
+ENDINGS = ["com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "app", "dev", "online", "shop", "site", "store", "tech", "cloud", "blog", "agency", "email", "company", "solutions", "services", "news", "media", "academy", "berlin", "london", "paris", "swiss", "example"]
+CARD_PREFIX = r"^(4|5[0-8]|2[2-7]|3[4-9]|6[0-9]|30|9792)"
+#: Country calling codes of one, two and three digits.
+PHONE_PREFIX = r"^\+(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-689][0-9]|3[578][0-9]|42[013]|50[0-9]|59[0-9]|67[0-9]|68[0-9]|69[0-2]|80[08]|85[02356]|870|88[0-368]|96[0-8]|97[0-79]|99[2-68])"
 CUES = {
-    "email": r"\b(e-?mail|mail|contact|correo|courriel|kontakt|write to)\b",
-    "ip": r"\b(ip|host|server|address|addr|adresse|dirección)\b",
-    "card": r"\b(card|visa|mastercard|amex|credit|carte|karte|tarjeta|account)\b",
-    "phone": r"\b(phone|tel|telephone|call|mobile|fax|cell|telefon|téléphone|teléfono)\b",
+    "email": r"\b(e-?mails?|mail|mailto|contact|reach|write to|reply|address|from|cc|bcc|correo|courriel|kontakt|adresse|schreiben|escriba|écrire|contacto|contatto|posta)\b",
+    "ip": r"\b(ips?|ipv4|ipv6|host|server|address|addr|gateway|dns|subnet|proxy|login|from|client|remote|adresse|dirección|servidor|serveur)\b",
+    "card": r"\b(cards?|visa|mastercard|maestro|amex|discover|credit|debit|payment|paid|billing|carte|karte|kreditkarte|tarjeta|carta|account|konto|cuenta|compte)\b",
+    "phone": r"\b(phones?|tel|telephone|call|called|calls|dial|ring|text|sms|whatsapp|mobile|fax|cell|hotline|contact|reach|telefon|handy|anrufen|téléphone|appeler|appelez|teléfono|llame|móvil|telefono|chiama)\b",
 }
-AGAINST = r"(\b(version|isbn|issn|id|no|order|sku|serial|rev|build)\b[.:#\x20]*|[=/_#\"'])$"
+AGAINST = r"(\b(version|isbn|issn|doi|id|no|nr|order|sku|serial|rev|build|ticket|invoice|part|model|page|chapter|section)\b[.:#\x20]*|[=/_#\"'])$"
+EMPTY = "cast(array() as array<struct<start:int,end:int,found:string,before:string,after:string>>)"
+
+
+def in_a_row(n: Column, start: Column, step) -> Column:
+    """What step(acc, k) puts into acc.out for k from 0 to n - 1, in blocks, so that long results aren't copied for each of their parts."""
+
+    def block(acc: Column, b: Column) -> Column:
+        own = F.aggregate(F.sequence(b * BLOCK, F.least(n, (b + 1) * BLOCK) - 1), F.struct(acc["at"].alias("at"), F.expr(EMPTY).alias("out")), step)
+        return F.get(F.transform(F.array(own), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out"))), F.lit(0))
+
+    blocks = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+    none = F.expr(f"cast(array() as array<{EMPTY.split(' as ')[1][:-1]}>)")
+    return F.when(n > 0, F.aggregate(blocks, F.struct(start.alias("at"), none.alias("out")), block, lambda acc: F.flatten(acc["out"]))).otherwise(F.expr(EMPTY))
+
+
+def one(start: Column, end: Column, found: Column, before: Column, after: Column) -> Column:
+    """A match with what stands around it, taken from the pieces between matches: the whole text need not go along with each."""
+    return F.array(F.struct(start.alias("start"), end.alias("end"), found.alias("found"), F.lower(F.right(before, F.lit(CONTEXT))).alias("before"), F.left(after, F.lit(1)).alias("after")))
+
+
+def piece(pieces: Column, k: Column) -> Column:
+    return F.coalesce(F.get(pieces, k), F.lit(""))
 
 
 def spans(text: Column, pattern: str, possible: Column) -> Column:
     """Array of (start, end, found) of all matches, in code points."""
-    parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)")
 
-    def step(acc: Column, k: Column) -> Column:
-        start = acc["at"] + F.length(F.get(parts, k))
-        end = start + F.length(F.get(found, k))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.get(found, k).alias("found")))).alias("out"))
+    def step(both: Column):
+        def add(acc: Column, k: Column) -> Column:
+            parts, every, found = both["parts"], both["found"], F.get(both["found"], k)
+            start = acc["at"] + F.length(F.get(parts, k))
+            end = start + F.length(found)
+            before, after = F.concat(piece(parts, k - 1), piece(every, k - 1), piece(parts, k)), F.concat(piece(parts, k + 1), piece(every, k + 1))
+            return F.struct(end.alias("at"), F.concat(acc["out"], one(start, end, found, before, after)).alias("out"))
+
+        return add
+
+    cut = F.struct(F.split(text, pattern, -1).alias("parts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    every = F.get(F.transform(F.array(cut), lambda both: in_a_row(F.size(both["found"]), F.lit(0), step(both))), F.lit(0))
+    return F.when(possible, F.coalesce(every, F.expr(EMPTY))).otherwise(F.expr(EMPTY))
+
 
-    every = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1))
-    return F.when(possible, F.coalesce(F.aggregate(every, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"]), empty)).otherwise(empty)
+def addresses(text: Column) -> Column:
+    """Array of (start, end, found) of mail addresses: one for each @ with the right runs around it, never before the end of the last."""
+
+    def step(parts: Column):
+        def add(acc: Column, k: Column) -> Column:
+            at, before = acc["at"]["sign"] + F.length(F.get(parts, k)), F.get(parts, k)
+            domain = F.rtrim(F.substring_index(F.regexp_extract(F.get(parts, k + 1), DOMAIN, 0), "..", 1), F.lit("."))
+            local = F.regexp_extract(before, LOCAL, 0)
+            own = F.struct(at.alias("sign"), F.greatest(at - F.length(local), acc["at"]["end"]).alias("start"), local.alias("local"), domain.alias("domain"))
+
+            def tell(x: Column) -> Column:
+                end = x["sign"] + 1 + F.length(x["domain"])
+                found = F.concat(F.right(x["local"], x["sign"] - x["start"]), F.lit("@"), x["domain"])
+                there = x["domain"].contains(".") & (x["start"] < x["sign"])
+                last = F.length(F.get(parts, k)) - F.length(x["local"])
+                earlier = F.concat(piece(parts, k - 1), F.when(k > 0, F.lit("@")).otherwise(F.lit("")), F.left(F.get(parts, k), last))
+                later = F.substring(F.get(parts, k + 1), F.length(x["domain"]) + 1, F.lit(1))
+                now = F.struct((x["sign"] + 1).alias("sign"), F.when(there, end).otherwise(acc["at"]["end"]).alias("end"))
+                return F.struct(now.alias("at"), F.when(there, F.concat(acc["out"], one(x["start"], end, found, earlier, later))).otherwise(acc["out"]).alias("out"))
+
+            return F.get(F.transform(F.array(own), tell), F.lit(0))
+
+        return add
+
+    start = F.struct(F.lit(0).alias("sign"), F.lit(0).alias("end"))
+    every = F.get(F.transform(F.array(F.split(text, "@", -1)), lambda parts: in_a_row(F.size(parts) - 1, start, step(parts))), F.lit(0))
+    return F.when(text.contains("@"), every).otherwise(F.expr(EMPTY))
 
 
 def luhn(found: Column) -> Column:
@@ -85,24 +148,21 @@ def luhn(found: Column) -> Column:
 
 
 def labelled(kind: str, wide: bool):
-    return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"), F.lit(wide).alias("wide"))
+    return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"), F.lit(wide).alias("wide"), s["before"].alias("before"), s["after"].alias("after"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, kind, start, end, found, wide, before, after for each candidate of id_and_text rows."""
+    """doc_id, rid (a hash of id and text), kind, start, end, found, wide, before, after for each candidate of id_and_text rows."""
     text = F.col("text")
     digits = text.rlike("[0-9]")
-    lists = []
+    lists = [F.transform(addresses(text), labelled("email", False))]
     for wide, patterns in ((False, BASE), (True, WIDE)):
         for kind, pattern in patterns.items():
             need = text.contains(NEEDS[kind]) if not wide and NEEDS[kind] else None
-            possible = {("email", True): text.rlike(DOT), ("ip", True): digits & text.contains(":"), ("email", False): need}.get((kind, wide), digits if need is None else digits & need)
+            possible = {("email", True): text.rlike(DOT), ("ip", True): digits & text.contains(":")}.get((kind, wide), digits if need is None else digits & need)
             lists.append(F.transform(spans(text, pattern, possible), labelled(kind, wide)))
     some = docs.where(digits | text.contains("@") | text.rlike(DOT))
-    rows = some.select("doc_id", "text", F.explode(F.concat(*lists)).alias("c")).select("doc_id", "text", "c.*")
-    before = F.lower(F.substring(F.col("text"), F.greatest(F.col("start") - CONTEXT + 1, F.lit(1)), F.least(F.col("start"), F.lit(CONTEXT))))
-    after = F.substring(F.col("text"), F.col("end") + 1, F.lit(1))
-    return rows.select("doc_id", "kind", "start", "end", "found", "wide", before.alias("before"), after.alias("after"))
+    return some.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.explode(F.concat(*lists)).alias("c")).select("doc_id", "rid", "c.*")
 
 
 def valid(kind: Column, found: Column) -> Column:
@@ -117,7 +177,7 @@ def votes(rows: DataFrame) -> DataFrame:
     digits = F.regexp_replace(found, "[^0-9]", "")
     sound = F.when(F.col("wide"), F.lit(None).cast("boolean")).otherwise(valid(kind, found))
     ending = F.lower(F.regexp_extract(found, r"([A-Za-z0-9-]+)$", 1))
-    known = F.when(kind == "email", ending.isin(ENDINGS)).when(kind == "card", digits.rlike(CARD_PREFIX)).when(kind == "phone", F.when(found.startswith("+"), found.rlike(PHONE_PREFIX)))
+    known = F.when(kind == "email", ending.isin(ENDINGS) | ending.rlike("^[a-z]{2}$")).when(kind == "card", digits.rlike(CARD_PREFIX)).when(kind == "phone", F.when(found.startswith("+"), found.rlike(PHONE_PREFIX)))
     cue = F.lit(False)
     for k, words in CUES.items():
         cue = cue | ((kind == k) & F.col("before").rlike(words))
@@ -192,26 +252,31 @@ def probability(weights: list[float]) -> Column:
 
 
 def personal_spans(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """doc_id, kind, start, end, found, base, probability: base spans and those that the classifier adds."""
+    """doc_id, rid, kind, start, end, found, base, probability: base spans and those that the classifier adds. Spans of rows with equal ids and texts are told once."""
     rows = write_table(votes(candidates(id_and_text(docs))).distinct(), "candidates")
     counts = rows.groupBy("kind", *LABELERS, "long").agg(F.count("*").alias("n")).collect()  # a row for each pattern of votes
     patterns = sorted((r.kind, tuple(r[v] for v in LABELERS), r.long, r.n) for r in counts)
     _, post = estimate(patterns)
     scored = rows.withColumn("probability", probability(train(patterns, post)))
-    base = scored.where("base")
-    more = scored.where((~F.col("base")) & (F.col("probability") >= accept) & (F.col("v3") > 0)).alias("m")
-    own = base.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"))
-    more = more.join(own, (F.col("m.doc_id") == F.col("d")) & (F.col("m.start") < F.col("e")) & (F.col("s") < F.col("m.end")), "left_anti")
-    return base.unionByName(more).select("doc_id", "kind", "start", "end", "found", "base", "probability")
+    span = Window.partitionBy("rid").orderBy("start")
+    upto, on = span.rowsBetween(Window.unboundedPreceding, 0), span.rowsBetween(0, Window.unboundedFollowing)
+    beside = (F.max(F.when(F.col("base"), F.col("end"))).over(upto) > F.col("start")) | (F.min(F.when(F.col("base"), F.col("start"))).over(on) < F.col("end"))
+    own = scored.where(F.col("base") | (F.col("probability") >= accept)).withColumn("beside", F.coalesce(beside, F.lit(False)))
+    return own.where("base or not beside").select("doc_id", "rid", "kind", "start", "end", "found", "base", "probability")
 
 
-def personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """doc_id, base and spans (sorted arrays of place, kind number, end) for each row of docs."""
+def grouped_spans(docs: DataFrame, accept: float) -> DataFrame:
+    """rid, base and spans (sorted arrays of place, kind number, end) of the texts that have any."""
     found = personal_spans(docs, accept)
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     span = F.struct(F.col("start"), order.alias("kind"), F.col("end"))
-    grouped = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(F.col("base"), span))).alias("base"), F.array_sort(F.collect_set(span)).alias("spans"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(grouped, "doc_id", "left")
+    return found.groupBy("rid").agg(F.array_sort(F.collect_set(F.when(F.col("base"), span))).alias("base"), F.array_sort(F.collect_set(span)).alias("spans"))
+
+
+def personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
+    """doc_id, base and spans (sorted arrays of place, kind number, end) for each row of docs."""
+    rows = id_and_text(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("rid"))
+    return rows.join(grouped_spans(docs, accept), "rid", "left").select("doc_id", "base", "spans")
 
 
 def text_of(spans: str) -> Column:
@@ -222,14 +287,16 @@ def text_of(spans: str) -> Column:
 
 def redact(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """docs with [KIND] in the place of each span; of overlapping spans the first counts."""
-    spans_ = personal_data(docs, accept).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")).dropDuplicates(["_id"])
-    joined = docs.join(spans_, F.col("doc_id") == F.col("_id"), "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))  # names of docs can't meet those used here
+    own = own.select("own", F.xxhash64(F.col("own.doc_id").cast("long"), F.col("own.text").cast("string")).alias("rid"))
+    joined = own.join(grouped_spans(docs, accept), "rid", "left").select("own", F.col("own.text").alias("text"), "spans")
     label = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.get(label, s["kind"] - 1))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), piece.alias("out"))).otherwise(acc)
+        pieces = F.concat(acc["out"], F.array(F.struct(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]).alias("kept"), F.get(label, s["kind"] - 1).alias("label"))))
+        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), pieces.alias("out"))).otherwise(acc)
 
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return joined.select(*[F.coalesce(done, F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<kept:string,label:string>>)").alias("out"))
+    done = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(F.transform(acc["out"], lambda x: F.concat(x["kept"], x["label"])), ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    told = joined.select("own", F.coalesce(done, F.col("text")).alias("text"))
+    return told.select(*[F.col("text").alias("text") if c == "text" else F.col(f"own.`{c}`").alias(c) for c in docs.columns])

@@ -84,3 +84,38 @@ def test_every_form_of_an_obfuscated_address_is_a_candidate(spark):
     every = [f"mail: john{at}example{dot}com" for at in ("[at]", " (at) ", " at ") for dot in ("[dot]", " (dot) ", " dot ")]
     rows = pii.candidates(frame(spark, every)).where("wide and kind = 'email'").collect()
     assert {r.doc_id: r.found for r in rows} == {i: t[len("mail: ") :] for i, t in enumerate(every)}
+
+
+def test_very_long_runs_and_many_matches(spark):
+    labels, many, digits = "a@b" + ".c" * 500_000, "x@y.zz, " * 20_000, "1." * 200_000 + "+" + "( " * 200_000
+    rows = {r.doc_id: r for r in pii.personal_data(frame(spark, [labels, many, digits, "u [at] h" + " [dot] c" * 3000])).collect()}
+    assert [tuple(s) for s in rows[0].base] == [(0, 1, len(labels))]
+    assert len(rows[1].base) == 20_000 and tuple(rows[1].base[-1]) == (8 * 19_999, 1, 8 * 19_999 + 6)
+    assert [tuple(s) for s in rows[2].base or []] == brute(digits[:400_000])
+
+
+def test_rows_without_an_id_or_with_one_id(spark):
+    docs = spark.createDataFrame([(None, "mail a@b.co"), (1, "x a@b.co"), (1, "nothing"), (None, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, [tuple(s) for s in r.base or []]) for r in pii.personal_data(docs).collect())
+    assert got == [(0, []), (0, [(5, 1, 11)]), (1, []), (1, [(2, 1, 8)])]
+    done = sorted((r.doc_id or 0, r.text or "") for r in pii.redact(docs).collect())
+    assert done == [(0, ""), (0, "mail [EMAIL]"), (1, "nothing"), (1, "x [EMAIL]")]
+
+
+def test_wide_candidates_as_brute_force(spark):
+    rng = random.Random(7)
+    parts = ["(555) 123-4567", "555-123-4567", "555 123 4567", "joe at mail dot com", "joe[at]x[dot]y [dot] z", "2001:0db8:0:0:0:0:0:1", "1:2:3", "x", "9", ".", " ", "-", "(", "é"]
+    every = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    got = {}
+    for r in pii.candidates(frame(spark, every)).where("wide").collect():
+        got.setdefault(r.doc_id, set()).add((r.kind, r.start, r.end, r.found))
+    for i, text in enumerate(every):
+        assert got.get(i, set()) == {(k, m.start(), m.end(), m.group()) for k, p in pii.WIDE.items() for m in re.finditer(p, text)}, text
+
+
+def test_the_classifier_decides_alone(spark):
+    every = [f"Please call phone: +1 555 {100 + i} {2000 + i} today or phone: 555-{100 + i}-{2000 + i}" for i in range(40)]
+    every += [f"order no 555-{100 + i}-{2000 + i}" for i in range(40)]
+    scored = pii.personal_spans(frame(spark, every), accept=0.0).collect()
+    likely = {r.doc_id: r.probability for r in scored if not r.base}
+    assert min(likely[i] for i in range(40)) > max(likely[i] for i in range(40, 80))
