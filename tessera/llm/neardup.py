@@ -14,8 +14,9 @@ a component.
 At a similarity of 0.85 a pair shares no band key with a probability of about 1e-5.
 
 Defined cases: null, empty or blank texts have no shingles and link with nothing; a text of fewer words than a shingle is
-one shingle of all its words; ties go to the least doc_id; repeated rows share a class; an empty table gives no rows.
-Other columns are ignored.
+one shingle of all its words; ties go to the least doc_id; repeated rows share a class; rows without doc_id are compared,
+but nothing can stand for them, so they are kept; very long texts are whole; an empty table gives no rows. Other columns
+are ignored, and passed on by drop_near_duplicates.
 """
 
 from __future__ import annotations
@@ -246,6 +247,6 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs of which near_duplicates keeps the id, with all their columns; of repeated rows of an id all stay."""
-    kept = near_duplicates(docs, width, percent).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of docs of which near_duplicates keeps the id, with all their columns; of repeated rows of an id all stay, and rows without one."""
+    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("near_duplicates_keeps")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("near_duplicates_keeps")), "left_semi")

@@ -8,7 +8,8 @@ number of lengths, not of documents. A piece takes its slot by its rank among th
 its task plus the counts of earlier tasks.
 
 Defined cases: a null or empty text is its end id alone; equal texts are packed each for itself; an empty table gives an
-empty result. Other columns are ignored.
+empty result; a null doc_id stays null; only a text beyond the capacity is cut, however long it is. Other columns, of any
+name, are ignored.
 """
 
 from __future__ import annotations

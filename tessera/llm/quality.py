@@ -6,8 +6,9 @@ the mean log ratio of the two smoothed multinomials over its n-grams and applies
 on word counts and repeated word windows. Only the two arrays of `buckets` numbers are broadcast.
 
 Defined cases: a null or empty text has no words and is rejected; equal texts get equal verdicts; an empty table gives
-an empty result; without trusted labels the ratio is 0 everywhere, so only the plain rules decide. Other columns are
-ignored by quality_features and passed on by quality_filter.
+an empty result; without trusted labels the ratio is 0 everywhere, so only the plain rules decide; repeated rows count as
+often as they are there; a null doc_id is never trusted; a ratio at the threshold is kept; very long texts are whole.
+Other columns, of any name, are ignored by quality_features and passed on by quality_filter.
 """
 
 from __future__ import annotations

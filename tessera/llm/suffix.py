@@ -14,7 +14,8 @@ left and right of the anchor the least doc_id of equal strings follows from the
 
 Defined cases: null and empty texts have no bytes; texts under MATCH bytes stay whole; of equal texts the one with the
 smallest doc_id stays; overlaps within one document do not count; rows that repeat a doc_id with its text are alike; an
-empty table gives no rows. doc_id must not be null or name different texts. Other columns are ignored.
+empty table gives no rows; very long texts are hashed in segments and compared whole. doc_id must not be null or name
+different texts. Other columns, of any name, are ignored.
 """
 
 from __future__ import annotations

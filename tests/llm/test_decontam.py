@@ -52,3 +52,18 @@ def test_empty_tables(spark):
     items, none = spark.createDataFrame(ITEMS, "item_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated_words(spark.createDataFrame([], SCHEMA), items).count() == 0
     assert decontam.decontaminate(frame(spark, TEXTS), none).count() == len(TEXTS)
+
+
+def test_rows_of_one_id_stay_apart_at_every_block_size(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = spark.createDataFrame([(1, "short one here"), (1, "nothing"), (None, "short one"), (None, None)], "doc_id long, text string")
+    told = [sorted((r.doc_id or 0, r.n_words, list(r["items"])) for r in decontam.contaminated_words(docs, items, block_bytes=block).collect()) for block in (1 << 20, 10)]
+    assert told[0] == told[1] == [(0, 0, []), (0, 2, ["3"]), (1, 1, []), (1, 3, ["3"])]
+
+
+def test_one_short_item_is_not_enough(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    every = ["a short one b", "short one and é日 ü", "beta gamma delta epsilon zeta eta theta iota", "clean", None]
+    for block in (1 << 20, 10):
+        kept = decontam.decontaminate(frame(spark, every), items, whole_window=True, block_bytes=block)
+        assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4] and kept.columns == frame(spark, []).columns

@@ -87,11 +87,11 @@ def test_every_form_of_an_obfuscated_address_is_a_candidate(spark):
 
 
 def test_very_long_runs_and_many_matches(spark):
-    labels, many, digits = "a@b" + ".c" * 500_000, "x@y.zz, " * 20_000, "1." * 200_000 + "+" + "( " * 200_000
+    labels, many, digits = "a@b" + ".c" * 500_000, "x@y.zz, " * 20_000, "1." * 10_000 + "+" + "( " * 200_000
     rows = {r.doc_id: r for r in pii.personal_data(frame(spark, [labels, many, digits, "u [at] h" + " [dot] c" * 3000])).collect()}
     assert [tuple(s) for s in rows[0].base] == [(0, 1, len(labels))]
     assert len(rows[1].base) == 20_000 and tuple(rows[1].base[-1]) == (8 * 19_999, 1, 8 * 19_999 + 6)
-    assert [tuple(s) for s in rows[2].base or []] == brute(digits[:400_000])
+    assert [tuple(s) for s in rows[2].base or []] == brute(digits[:20_000])
 
 
 def test_rows_without_an_id_or_with_one_id(spark):

@@ -1,7 +1,10 @@
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+import xxhash
 
 from tessera.llm import quality
 
@@ -23,6 +26,45 @@ def brute(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), lines, len(hit), len(w) < 20 or 100 * len(hit) > 30 * len(w)
 
 
+ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def grams(text, buckets):
+    """Buckets of the words and pairs of words of one text, with plain integers."""
+    most = 2**64 - 1
+    h = [xxhash.xxh3_64_intdigest(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(ASCII))]
+    out = [x % buckets for x in h]
+    for a, b in zip(h, h[1:], strict=False):
+        x = (a * 3 + b) & most
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & most
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & most
+        out.append((x ^ x >> 31) % buckets)
+    return out
+
+
+def brute_ratios(every, trusted, buckets=quality.BUCKETS):
+    """Mean log ratio of each text; trusted: numbers of the target texts."""
+    each = [grams(t, buckets) for t in every]
+    raw, target = Counter(x for g in each for x in g), Counter(x for i in trusted for x in each[i])
+    n, m = sum(raw.values()), sum(target.values())
+    p = {x: (c + 1) / (n + buckets) for x, c in raw.items()}
+    ratio = {x: math.log((target[x] + buckets * p[x]) / (m + buckets)) - math.log(p[x]) for x in raw} if m else {}
+    return [sum(ratio.get(x, 0.0) for x in g) / max(1, len(g)) for g in each]
+
+
+def test_ratio_and_verdict_as_brute_force(spark):
+    every = [*texts(), "AN Upper Case text", "é ü 日本 " * 9]
+    trusted = list(range(0, len(every), 3))
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted] + [(1, 1, 1), (2, 0, 0), (None, 1, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, every)
+    for threshold in (quality.THRESHOLD, 0.01):
+        got = sorted(quality.quality_features(docs.repartition(3), labels, threshold).collect(), key=lambda r: r.doc_id)
+        for r, want, text in zip(got, brute_ratios(every, trusted), every, strict=True):
+            assert r.log_ratio == pytest.approx(want, abs=1e-9) and r.kept == (not brute(text)[5] and want >= threshold)
+
+
 def test_base_as_brute_force(spark):
     every = [*texts(), "a b c d e f g h " * 3, "#*$%&|<> " * 30, "\x1cx\x85y z\xa0" * 9]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, len(every), 3)], "doc_id long, quality int, toxic int")
