@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_tables, id_and_text, write_table
+from .shared import id_and_text, write_table
 
 KINDS = ["email", "ip", "card", "phone"]
 ACCEPT = 0.9
