@@ -17,7 +17,7 @@ LEAST_STRETCH, MOST_STRETCH = 1024, 1 << 18
 #: Totals that are accumulated in one window.
 MOST_TOTALS = 1 << 16
 #: Rows of a range: a share of a small table, and a fixed number of a large one.
-LEAST_RANGE, RANGE = 4096, 1 << 18
+LEAST_RANGE, RANGE = 1 << 17, 1 << 18
 
 COMBINE = {
     "sum": (F.sum, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)),
