@@ -38,6 +38,8 @@ LEFT = MATCH - SEED
 BUCKET_BYTES = 8 << 20
 FLUSH_BYTES = 12 << 20
 RUN_ROWS = 100_000
+#: Level of compression of the runs.
+ZSTD = 3
 #: Text bytes hashed together; the hashes take some sixty times as much. A longer text is hashed in segments.
 SLICE = 1 << 20
 _MOST = np.uint64(2**64 - 1)
@@ -244,17 +246,20 @@ class Suffixes:
         return cls(np.where(np.arange(MATCH) < n_right[:, None], right, np.uint8(0)), np.where(np.arange(LEFT) < n_left[:, None], left, np.uint8(0)), n_right, n_left, docs[owner], place)
 
     def dump(self) -> bytes:
-        """The rows, sorted by `right`, front-coded."""
+        """The rows, sorted by `right`, front-coded; ids and places by byte planes, as their high bytes are alike; and all of it compressed."""
         shared = shared_lengths(self.right)
         rest = self.right[(np.arange(MATCH) >= shared[:, None]) & (np.arange(MATCH) < self.n_right[:, None])]
         left = self.left[np.arange(LEFT) < self.n_left[:, None]]
-        return b"".join([np.asarray([len(self), len(rest)], "<u4").tobytes(), self.doc.astype("<i8").tobytes(), self.place.astype("<i8").tobytes(), self.n_right.tobytes(), self.n_left.tobytes(), shared.astype(np.uint8).tobytes(), rest.tobytes(), left.tobytes()])
+        planes = [np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for x in (self.doc, self.place)]
+        raw = b"".join([np.asarray([len(self), len(rest)], "<u4").tobytes(), *planes, self.n_right.tobytes(), self.n_left.tobytes(), shared.astype(np.uint8).tobytes(), rest.tobytes(), left.tobytes()])
+        return np.asarray([len(raw)], "<u8").tobytes() + pa.Codec("zstd", ZSTD).compress(raw, asbytes=True)
 
     @classmethod
     def load(cls, blob: bytes) -> tuple[Suffixes, bytes]:
         """The rows, and the length that each shares with the one before."""
+        blob = pa.Codec("zstd").decompress(memoryview(blob)[8:], int(np.frombuffer(blob, "<u8", 1)[0]), asbytes=True)
         n, m = np.frombuffer(blob, "<u4", 2).tolist()
-        doc, place = np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<i8", n, 8 + 8 * n)
+        doc, place = (np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, 8 + k * 8 * n).reshape(8, n).T).view("<i8").ravel() for k in range(2))
         at = 8 + 16 * n
         n_right, n_left, shared = (np.frombuffer(blob, np.uint8, n, at + k * n) for k in range(3))
         at += 3 * n
@@ -504,12 +509,13 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     classes = marks.groupBy("same", "crc", "size").agg(F.min("doc_id").alias("rep"))
     total = marks.agg(F.sum("size")).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
-    hits = write_table(shared_anchors(docs.where(F.octet_length("text") >= MATCH), buckets).groupBy("same").agg(F.collect_list("anchors").alias("anchors")), "anchors")
-    wanted = write_table(classes.select(F.col("rep").alias("doc_id"), "same").join(hits, "same").select("doc_id", "anchors"), "wanted")
+    hits = write_table(shared_anchors(docs.where(F.octet_length("text") >= MATCH), buckets).groupBy("same").agg(F.collect_list("anchors").alias("anchors")), "anchors", free=True)
+    wanted = write_table(classes.select(F.col("rep").alias("doc_id"), "same").join(hits, "same").select("doc_id", "anchors"), "wanted", free=True)
+    drop_tables(hits)
     texts = docs.select("doc_id", "text")
     sent = suffix_runs(marked(texts, "doc_id", filter_of(wanted, "doc_id"), "may").where("may").select("doc_id", "text").join(wanted.hint("merge"), "doc_id"), buckets)
-    spans = write_table(repeated_spans(sent, buckets), "spans")
-    drop_tables(hits, wanted)
+    spans = write_table(repeated_spans(sent, buckets), "spans", free=True)
+    drop_tables(wanted)
     copies = marks.where(F.col("size") >= MATCH).join(classes, ["same", "crc", "size"]).where("doc_id > rep").select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("binary").alias("spans"))
     found = write_table(copies.union(spans.select("doc_id", F.lit(False), "spans")).groupBy("doc_id").agg(F.max("copy").alias("copy"), F.collect_list("spans").alias("spans")), "found")
     told = marked(texts, "doc_id", filter_of(found, "doc_id"), "may")  # only texts that can lose something move

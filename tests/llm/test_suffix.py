@@ -1,11 +1,13 @@
 import hashlib
+import pathlib
 import random
+import time
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import suffix
+from tessera.llm import shared, suffix
 
 from .samples import SCHEMA, frame, texts
 
@@ -107,3 +109,29 @@ def test_runs_are_read_as_written():
     assert all((getattr(back, k) == getattr(rows, k)).all() for k in rows.NAMES) and len(shared) == len(rows) > 0
     for r, p, d in zip(rows.right, rows.place.tolist(), rows.doc.tolist(), strict=True):
         assert bytes(r) == every[d][p : p + suffix.MATCH].ljust(suffix.MATCH, b"\0")
+
+
+def test_runs_are_compressed_and_whole():
+    rng = random.Random(6)
+    every = [" ".join(rng.choice(["some", "ordinary", "words", "of", "prose", "that", "texts", "repeat"]) + str(rng.randint(0, 300)) for _ in range(400)).encode() for _ in range(20)]
+    owner, place, _ = suffix.anchors(every)
+    rows = suffix.Suffixes.of(every, owner, place, np.arange(20) * 10**11 - 5)
+    rows = rows.take(np.lexsort(rows.right.T[::-1]))
+    blob = rows.dump()
+    assert len(blob) < 60 * len(rows)  # 84 bytes around the anchor, id and place
+    back, lengths = suffix.Suffixes.load(blob)
+    assert all((getattr(back, k) == getattr(rows, k)).all() for k in suffix.Suffixes.NAMES) and list(lengths) == suffix.shared_lengths(rows.right).tolist()
+    assert len(suffix.Suffixes.load(rows.take(slice(0, 0)).dump())[0]) == 0
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    def files():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f.name for d in dirs for f in pathlib.Path(d.getPath()).rglob("shuffle_*")}
+
+    before, kept = files(), spark.conf.get(shared.CLEANUP, None)
+    table = shared.write_table(spark.range(1000).repartition(3, "id"), "test", free=True)
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and table.count() == 1000 and spark.conf.get(shared.CLEANUP, None) == kept
