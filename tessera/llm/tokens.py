@@ -8,7 +8,7 @@ the ids of chunks that it has met. test_tokens.py compares the result with encod
 from __future__ import annotations
 
 import os
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 
@@ -25,10 +25,10 @@ def default_path() -> str:
 class ChunkTokenizer:
     """encode(texts) gives all ids in a row and how many each text has.
 
-    most: distinct chunks remembered before starting anew, which bounds the memory.
+    most: distinct chunks remembered before the later half goes, which bounds the memory.
     """
 
-    def __init__(self, path: str | None = None, most: int = 1_000_000) -> None:
+    def __init__(self, path: str | None = None, most: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -37,14 +37,18 @@ class ChunkTokenizer:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
-        self.clear()
-
-    def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
 
+    def forget(self) -> None:
+        """Drops all chunks but the first half of `most`: frequent ones are met early."""
+        n = min(self.most // 2, len(self.known))
+        self.known = dict(islice(self.known.items(), n))
+        self.at, self.size = self.at[:n].copy(), self.size[:n].copy()
+        self.flat = self.flat[: self.size.sum()].copy()
+
     def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that are one pre-token each, in a row, and how many each has: an id that ends a word ends the text."""
         ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
@@ -93,7 +97,7 @@ class ChunkTokenizer:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.most:
-            self.clear()
+            self.forget()
         chunks: list[bytes] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
