@@ -189,3 +189,20 @@ def test_pieces_of_a_long_text_are_its_tokens():
 
 def test_kept_tokens_grow():
     assert [lm.kept_tokens(n) for n in (0, 10**8, 10**9, 10**12)] == sorted({lm.kept_tokens(n) for n in (0, 10**8, 10**9, 10**12)})
+
+
+def test_outputs_fill_one_array_of_all_classes():
+    import tracemalloc
+
+    v = lm.Vocabulary([(i, 5000 - i) for i in range(4096)], 20_000_000, 9000, 100)
+    net, rng = lm.Network.initial(v, 16), np.random.default_rng(4)
+    h, rank = rng.uniform(-1, 1, (8192, 16)).astype(np.float32), np.full(8192, 4096)
+    net.outputs(h[:8], rank[:8])
+    tracemalloc.start()
+    log = net.outputs(h, rank)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    a = h.astype(np.float64) @ net.p["wc"].astype(np.float64) + net.p["bc"]
+    want = a[:, -1] - np.log(np.exp(a).sum(axis=1))
+    assert np.abs(log - want).max() < 1e-5
+    assert peak < 1.5 * 4 * a.size  # passes over further arrays of that size take much of the time
