@@ -326,6 +326,29 @@ def test_sets_and_tables(arr):
     assert sorted(tuple(r) for r in t.frame().collect()) == [(0, 1, 2), (1, 3, N)]
 
 
+def test_joins_of_a_frequent_value_meet_in_tiles(spark, arr, monkeypatch):
+    from tessera.operators import table
+
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    monkeypatch.setattr(table, "TILE", 16, raising=False)
+    try:
+        for k, v in zip(held, ("false", "8", "-1"), strict=True):
+            spark.conf.set(k, v)
+        left, right = [7] * 200 + [N, 1, 2, 2], [7] * 150 + [N, 2, 3]
+        a, b = arr(left, "int32"), arr(right, "int32")
+        pairs = [(i, v, j) for i, v in enumerate(left) for j, w in enumerate(right) if v is not N and v == w]
+        alone = [(i, v, N) for i, v in enumerate(left) if v in (N, 1)]
+        others = [(N, w, j) for j, w in enumerate(right) if w in (N, 3)]
+        for how, want in (("inner", pairs), ("left", pairs + alone), ("right", pairs + others), ("full", pairs + alone + others), ("left_outer", pairs + alone)):
+            rows = a.join_values(b, how).select("*", F.spark_partition_id()).collect()
+            assert sorted(((*r,)[:3] for r in rows), key=str) == sorted(want, key=str), how
+            most = max(sum(r[3] == p for r in rows) for p in range(24))
+            assert most < len(pairs) / 2, (how, most)  # all pairs of a value in one task before
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_access(arr):
     a = arr([[1, 2, 3], [4, 5, N]])
     assert a[1, -2].values() == [5] and a[:, 1].values() == [2, 5] and a[(1, 0), None].values() == [4, 5, N, 1, 2, 3] and a[F.col("v") > 2].values() == [3, 4, 5]
